@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language, packing, pii, quality, token_counts, token_file, url_filter
+from . import decontamination, fingerprint, language, packing, pii, quality, similarity, token_counts, token_file, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_documents(documents(spark, sf_dir), width=3, percent=90)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(documents(spark, sf_dir))
 
