@@ -1,8 +1,7 @@
 """Token ids by the tokenizers library, with a bounded memory of chunks.
 
 A text is cut at places where the tokenizer's own pre-tokenisation always cuts, so that the chunks' ids put together are
-the text's ids; each pre-token is encoded once by the
-library's model and its ids are remembered. Cuts:
+the text's ids; each pre-token is encoded by the library's model and its ids are remembered. Cuts:
 
 * words: at white space, which the normaliser of a word-level vocabulary drops;
 * bytes: before a white space that follows something else, where the byte-level pattern always begins a new pre-token.
@@ -14,13 +13,14 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
 
 from .token_counts import SEPARATORS, WHITE, byte_symbols
 
-#: Chunks and pre-tokens that a worker remembers; each memory starts anew when it holds more.
+#: Strings that a memory of a worker holds in one of its two generations.
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 64
 #: The byte-level pattern, with the white space of Unicode.
@@ -29,6 +29,29 @@ BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{
 EDGE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})", regex.V1)
 
 
+class Memory(dict):
+    """Results by string. What isn't there is taken from the generation before, or made; long strings are made each
+    time. Two generations are held, so that frequent strings outlive the others."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict | None = None):
+        super().__init__()
+        self.make, self.before = make, before or {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.before.get(key)) is None:
+            out = self.make(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            self[key] = out
+        return out
+
+    def bounded(self) -> Memory:
+        """This memory, or its next generation if it is full."""
+        if len(self) <= REMEMBERED:
+            return self
+        self.before = {}
+        return Memory(self.make, self)
+
+
 class ChunkEncoder:
     def __init__(self, path: str, words: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,65 +60,53 @@ class ChunkEncoder:
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.symbols = self.tokenizer.model, dict(enumerate(byte_symbols()))
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.pattern = BYTE_PATTERN
         if words:
             with open(path, encoding="utf-8") as f:
                 pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        else:
-            self.pattern = BYTE_PATTERN
+        self.pieces = Memory(self.piece)
         self.known = Memory(self.ids)
-        self.pieces: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if self.words:
-            return [c for c in WHITE.split(text) if c] if SEPARATORS.search(text) else text.split()
-        if "  " in text:
-            return EDGE.split(text)
-        # Between single spaces every chunk but the first begins with its space.
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]]
+        self.spaced = Memory(lambda chunk: self.ids(" " + chunk))
 
     def piece(self, pre_token: str) -> bytes:
-        """The ids of a pre-token as 32-bit integers, from memory if they are there."""
-        if (out := self.pieces.get(pre_token)) is None:
-            symbols = self.symbols
-            out = array("I", [t.id for t in self.model.tokenize("".join([symbols[b] for b in pre_token.encode()]))]).tobytes()
-            if len(pre_token) <= REMEMBERED_LENGTH:
-                self.pieces[pre_token] = out
-        return out
+        if pre_token.isascii() and pre_token.isprintable():  # visible ASCII stands for itself
+            visible = pre_token.replace(" ", self.symbols[32])
+        else:
+            visible = "".join([self.symbols[b] for b in pre_token.encode()])
+        return array("I", [t.id for t in self.model.tokenize(visible)]).tobytes()
 
     def ids(self, chunk: str) -> bytes:
+        """The ids of a chunk as little-endian 32-bit integers."""
         if "<|" in chunk:  # may hold a special string, which the library looks for first
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         plain = chunk.isascii()
         if self.words:
             chunk = chunk.lower() if plain else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
-        if plain and (chunk if self.words else chunk.removeprefix(" ")).isalpha():
-            return self.piece(chunk)
-        return b"".join(map(self.piece, self.pattern.findall(chunk)))
+        if plain:  # one word, with a comma or full stop perhaps
+            word = chunk if self.words else chunk.removeprefix(" ")
+            if word.isalpha():
+                return self.pieces[chunk]
+            if word[:-1].isalpha() and word[-1] in ",.":
+                return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+
+    def text_ids(self, text: str) -> bytes:
+        known = self.known.__getitem__
+        if self.words:
+            return b"".join(map(known, [c for c in WHITE.split(text) if c] if SEPARATORS.search(text) else text.split()))
+        if "  " in text:
+            return b"".join(map(known, EDGE.split(text)))
+        # Between single spaces every chunk but the first begins with its space.
+        first, *rest = text.split(" ")
+        return known(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers, with the id `end` after them."""
-        for memory in (self.known, self.pieces):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        """The ids of each text, with the id `end` after them."""
+        self.pieces, self.known, self.spaced = self.pieces.bounded(), self.known.bounded(), self.spaced.bounded()
         last = array("I", [end]).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, self.chunks(t))) + last for t in texts]
-
-
-class Memory(dict):
-    """Ids by chunk; asks the encoder for what isn't there and keeps it unless the chunk is long."""
-
-    def __init__(self, ids):
-        self.ids = ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.ids(chunk)
-        if len(chunk) <= REMEMBERED_LENGTH:
-            self[chunk] = out
-        return out
+        return [self.text_ids(t) + last for t in texts]
 
 
 @lru_cache(maxsize=2)

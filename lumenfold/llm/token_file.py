@@ -158,21 +158,27 @@ class Shard:
         return out if out is not None else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, words: bool = False, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, words: bool = False, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of all documents, each with the id `end` after it, to `path` in ascending order of doc_id.
 
-    One shuffle, of compressed texts, ranges them by id; the ranges are balanced whatever the sources or lengths are.
+    Ids from the table cut it into `parts` ranges of equal row counts, whatever the sources or lengths are; one shuffle,
+    of compressed texts, brings a range together.
     Columns: part and shard (their order is the documents' order), before (ids of the part before this shard), n_ids,
     doc_ids, data.
     """
     check_columns(docs, doc_id, text)
 
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("cuts")).first().cuts
+    bounds = np.array(sorted(set(cuts or [])) if parts > 1 else [], np.int64)
+
     def shrink():
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def each(columns):
             data = [squeeze((t or "").encode()) for t in columns[1]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "data"])
+            ranges = np.searchsorted(bounds, np.array([-(1 << 63) if i is None else i for i in columns[0]], np.int64), "right")
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(columns[0], pa.int64()), pa.array(data, pa.binary())], ["range", "doc_id", "data"])
 
         return each
 
@@ -199,8 +205,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, wor
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    small = map_arrow(rows, shrink, "doc_id long, data binary")
-    ranged = small.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data")
+    small = map_arrow(rows, shrink, "range int, doc_id long, data binary")
+    ranged = small.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("doc_id", "data").select("doc_id", "data")
     ranged.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
