@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Make = Callable[..., Column]
-WORD = 1 << 64
+WORD = Decimal(1 << 64)
 
 
 @dataclass(frozen=True)
@@ -64,8 +65,8 @@ def enough(value: Column, c: Column, skip_nulls: bool, min_count: int) -> Column
 def summed(c: Column, skip_nulls: bool = True, min_count: int = 1, wrap: bool = False) -> Column:
     if wrap:
         total = F.sum(c.cast("decimal(38,0)"))
-        low = F.pmod(total, F.lit(WORD).cast("decimal(20,0)"))
-        value = F.when(low >= WORD // 2, low - F.lit(WORD).cast("decimal(20,0)")).otherwise(low).cast("long")
+        low = F.pmod(total, F.lit(WORD))
+        value = F.when(low >= F.lit(WORD / 2), low - F.lit(WORD)).otherwise(low).cast("long")
     else:
         value = F.sum(c)
     value = enough(value, c, skip_nulls, min_count)
