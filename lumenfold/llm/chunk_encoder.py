@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import regex
 
-from .token_counts import SEPARATORS, WHITE, byte_symbols
+from .token_counts import SEPARATORS, WESTERN, WHITE, byte_symbols
 
 #: Strings that a memory of a worker holds in one of its two generations.
 REMEMBERED = 400_000
@@ -79,7 +79,8 @@ class ChunkEncoder:
 
     def ids(self, chunk: str) -> bytes:
         """The ids of a chunk as little-endian 32-bit integers."""
-        if "<|" in chunk:  # may hold a special string, which the library looks for first
+        if "<|" in chunk or chunk and max(chunk) > WESTERN:
+            # May hold a special string, which the library looks for first, or what the pattern library may not know.
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         plain = chunk.isascii()
         if self.words:

@@ -39,6 +39,28 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(moved)) for b in range(256)]
 
 
+#: Up to here every code point is assigned and every library knows what it is.
+WESTERN = "\u024f"
+CONTRACTIONS = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+
+
+def scanned(chunk: str) -> list[str]:
+    """The pre-tokens of a chunk without white space, by the general categories of its code points: contractions, runs
+    of letters, single numbers, runs of the rest. (The pattern library takes many unassigned code points for letters.)"""
+    kinds = [k if (k := unicodedata.category(c)[0]) in "LN" else "O" for c in chunk]
+    out, i = [], 0
+    while i < len(chunk):
+        end = i + 1
+        if m := CONTRACTIONS.match(chunk, i):
+            end = m.end()
+        elif kinds[i] != "N":
+            while end < len(chunk) and kinds[end] == kinds[i]:
+                end += 1
+        out.append(chunk[i:end])
+        i = end
+    return out
+
+
 class MergeCounter:
     """Counts the tokens of texts for one vocabulary file."""
 
@@ -116,10 +138,9 @@ class MergeCounter:
 
     def pre_tokens(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            chunk = chunk.lower()
-        else:
-            chunk = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
-        return self.pre.findall(chunk)
+            return self.pre.findall(chunk.lower())
+        chunk = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+        return self.pre.findall(chunk) if max(chunk) <= WESTERN else scanned(chunk)
 
     def chunks(self, text: str) -> list[str]:
         """The text between white space. Python also splits at the four separators 0x1C to 0x1F; the tokenizer doesn't."""
