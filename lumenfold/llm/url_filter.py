@@ -22,6 +22,8 @@ from .common import check_columns, written
 
 #: A table of hosts, domains or suffixes is broadcast up to so many rows (under 100 bytes each), else merge-joined.
 BROADCAST_ROWS = 200_000
+#: What is assumed before any page is seen: so many bad among so many. It matters while outcomes are few.
+BASE = (2, 20)
 #: Second-level labels under which names are registered in two-letter country domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,7 +106,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     domains = written(level(hosts, "domain", "suffix"), "domains")
     suffixes = written(level(domains, "suffix"), "suffixes")
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    mean = (total.bad + 0.5) / (total.n + 1)
+    mean = (total.bad + BASE[0]) / (total.n + BASE[1])
     shrunk = lambda weight, prior: (F.col("bad") + weight * prior) / (F.col("n") + weight)
     suffixes = suffixes.select("suffix", shrunk(prior_weight(suffixes, mean), F.lit(mean)).alias("suffix_rate"))
     weight = prior_weight(domains, mean)
