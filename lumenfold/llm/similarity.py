@@ -13,8 +13,9 @@ k = d + 1 + x words, x + 1 of them agree at least. That is the pigeonhole join,
    the d + 1 rarest of either, so only those are kept: what many documents have in common joins nothing.
 4. Candidates that share a kept word are verified on their exact sets, in three rounds: every document with the
    smallest member of the group it shares most words with; then with the smallest members of its other groups; then,
-   where members of a group still lie in different components, across these components. A pair inside a component
-   needs no test, so a large group of near copies costs about one test for each member, not one for each pair.
+   where members of a group still lie in different components, across these components, for the pairs that the exact
+   sets' rarest shingles leave possible. A pair inside a component needs no test, so a large group of near copies costs
+   about one test for each member, not one for each pair.
    After every round the links are closed to components by alternating large-star and small-star steps.
 
 All words are counted with partial sums before the shuffle, and the joins that follow are plain merge joins of written
@@ -169,6 +170,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def edges_of(found: DataFrame) -> DataFrame:
+    """Components as edges: a later closure starts from stars instead of all links again."""
+    return found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose exact sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("grams").alias("left"))
@@ -235,18 +241,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, doc_id
     found = written(components(links), "components")
     # Second round: the smallest members of the other groups, where they lie elsewhere.
     second = written(apart(spokes.select("a", "b").join(first, ["a", "b"], "left_anti"), found), "second")
-    links = written(links.union(linked(second, sets, percent)), "links")
+    links = written(edges_of(found).union(linked(second, sets, percent)), "links")
     found = written(components(links), "components")
     # Third round: across the components that a group still has.
     placed = kept.join(hubs.select("key"), "key", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     placed = written(placed.select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    placed = written(placed.join(open_, "key", "left_semi"), "open")
-    other = placed.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-    third = placed.withColumnRenamed("rep", "a").join(other, "key").where("a < b AND component != other").select("a", "b").distinct()
-    tested = first.union(second)
-    third = written(third.join(tested, ["a", "b"], "left_anti"), "third")
-    links = written(links.union(linked(third, sets, percent)), "links")
+    open_ = written(placed.join(open_, "key", "left_semi").select("rep", "component").distinct(), "open")
+    third = written(across(sets.join(open_, "rep"), percent).join(first.union(second), ["a", "b"], "left_anti"), "third")
+    links = written(edges_of(found).union(linked(third, sets, percent)), "links")
     found = written(components(links), "components")
 
     # A row's component is its representative's; who is neither a copy nor linked is a component of its own.
@@ -255,6 +258,30 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, doc_id
     return named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def across(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that may be similar, by the prefixes of their exact sets.
+
+    Shingles are ordered by how few of these documents have them. For sets of sizes n and m the first shingle they share,
+    at places i and j, leaves room for min(n - i + 1, m - j + 1) common ones, of which (n + m) t / (1 + t) are needed. A
+    place that leaves too little for a partner of equal size can only pair with a smaller one, so two such places never
+    join: what a family of variants has in common stands behind its own edits and is not enumerated.
+    """
+    size = F.size("grams").cast("long").alias("n")
+    grams = sets.select("rep", "component", size, F.explode("grams").alias("gram"))
+    often = written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    mine = Window.partitionBy("rep")
+    rows = grams.join(often, "gram")
+    # Shingles of one document alone come first and join nothing: they only count.
+    at = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
+    rows = rows.withColumn("room", F.col("n") - at + 1).where(F.col("room") >= F.ceil(F.col("n") * percent / 100))
+    light = F.col("room") * (100 + percent) >= 2 * percent * F.col("n")
+    rows = written(rows.select("rep", "component", "n", "gram", "room", light.alias("light")), "prefixes")
+    other = rows.select("gram", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("room").alias("space"), F.col("light").alias("slight"))
+    enough = F.least("room", "space") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    pairs = rows.where("light").withColumnRenamed("rep", "a").join(other, "gram").where((F.col("component") != F.col("other")) & enough & (~F.col("slight") | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) whose nodes are in different components."""
     for side in "ab":

@@ -284,6 +284,13 @@ def families(seed):
             for _ in range(draw.choice([0, 0, 1, 1, 2, 4])):
                 w[draw.randrange(len(w))] = draw.choice(words)
             out.append((len(out), draw.choice([" ", "\n"]).join(w)))
+    for n, least, most in ((150, 3, 9), (60, 1, 5)):  # variants of one text, around the limit
+        base = [f"w{draw.randrange(10**6)}" for _ in range(n)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(draw.randint(least, most)):
+                w[draw.randrange(len(w))] = f"v{draw.randrange(30)}"
+            out.append((len(out), " ".join(w)))
     return out + [(len(out), None), (len(out) + 1, ""), (len(out) + 2, " \n ")]
 
 
