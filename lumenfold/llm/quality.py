@@ -20,6 +20,8 @@ import re
 import uuid
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ WIDTH = 48
 NONZERO = 6
 WINDOW = 2
 STATISTICS = 9
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 REMEMBERED_LENGTH = 64
 
 CORE = re.compile(r"[^\W\d_]+")
@@ -45,14 +47,24 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", kinds)
 
 
+@lru_cache(maxsize=50_000)
+def unit(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "replace")) % UNITS
+
+
 def units(token: str) -> tuple[int, int, int]:
     """Core, shape and trailing signs of a token as unit numbers; parts that are missing share one unit each."""
+    word = token[:-1] if token[-1] in ",." else token
+    if word.isalpha() and word.islower() and word.isascii() and len(token) <= 40:  # the common case, without patterns
+        end = token[len(word) :]
+        return zlib.crc32(b"c" + word.encode()) % UNITS, unit(("sx+" if len(word) > 1 else "sx") + end), unit("t" + end)
     core, trail = CORE.search(token), TRAIL.search(token)
-    parts = ("c" + core[0].lower() if core else "c", "s" + shape(token), "t" + trail[0] if trail else "t")
-    return tuple(zlib.crc32(p.encode("utf-8", "replace")) % UNITS for p in parts)
+    return unit("c" + core[0].lower() if core else "c"), unit("s" + shape(token)), unit("t" + trail[0] if trail else "t")
 
 
 def token_statistics(token: str) -> tuple[int, ...]:
+    if token.isalpha() and token.islower():
+        return len(token), len(token), 0, 0, 0
     letters = sum(map(str.isalpha, token))
     digits = sum(map(str.isdigit, token))
     return len(token), letters, sum(map(str.isupper, token)), digits, len(token) - letters - digits
@@ -91,7 +103,7 @@ class Reader:
             self.units = np.concatenate([self.units, np.array([units(w) for w in new], np.int64)])
             self.numbers = np.concatenate([self.numbers, np.array([token_statistics(w) for w in new], np.float32)])
         lengths = np.array([len(c) for c in cut], np.int64)
-        ids = np.fromiter((k for c in cut for k in map(self.index.__getitem__, c)), np.int64, lengths.sum())
+        ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, lengths.sum())
         return ids, lengths, np.array([len(s) for s in sets], np.int64), known
 
 
@@ -195,18 +207,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, doc_id:
     index = index_vectors()
 
     def count(batches):
-        total, reader = np.zeros((UNITS, WIDTH), np.float32), Reader()
-        for (texts,) in slices(batches, 0):
-            ids, lengths, _, _ = reader.read([t or "" for t in texts])
-            around = index[reader.units].sum(1)[ids]  # of each token: the index vectors of its units
+        total, reader, drawn = np.zeros((UNITS, WIDTH), np.float32), Reader(), np.zeros((0, WIDTH), np.float32)
+        for (texts,) in slices(batches, 0, 1_000_000):
+            ids, lengths, _, known = reader.read([t or "" for t in texts])
+            drawn = np.concatenate([drawn[:known], index[reader.units[known:]].sum(1)])
+            around = drawn[ids]  # of each token: the index vectors of its units
             of = np.repeat(np.arange(len(lengths)), lengths)
             context = np.zeros_like(around)
             for d in range(1, WINDOW + 1):
                 same = (of[d:] == of[:-d])[:, None]
                 context[d:] += around[:-d] * same
                 context[:-d] += around[d:] * same
-            for part in range(3):
-                np.add.at(total, reader.units[ids, part], context)
+            if len(ids):  # first for each distinct token, then for its units
+                order = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+                by_token, tokens = np.add.reduceat(context[order], first, axis=0), ids[order][first]
+                for part in range(3):
+                    np.add.at(total, reader.units[tokens, part], by_token)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     parts = rows.select("text").mapInArrow(count, "total binary").collect()
