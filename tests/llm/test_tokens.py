@@ -115,8 +115,8 @@ def check_plan(counts, limit):
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=30))
 def test_plan_is_gapless_and_near_the_least(counts):
-    tokens = sum(n * k for n, k in counts.items())
-    assert check_plan(counts, 40) <= max(-(-tokens // 40) * 11 / 9 + 2, 1.4 * -(-tokens // 40))
+    tokens, large = sum(n * k for n, k in counts.items()), sum(k for n, k in counts.items() if n > 20)
+    assert check_plan(counts, 40) <= 1.5 * max(-(-tokens // 40), large) + 1
 
 
 def test_plan_fills_sequences():
