@@ -6,6 +6,9 @@ joined with seeds of all windows of all documents. A hit gives an item, a docume
 item's and the document's words are compared place by place, and the document is contaminated by the item if some
 stretch of `stretch` words (or the whole item, if it is shorter) has at least `share` of them equal.
 
+The masks miss no stretch that the comparison would accept: whichever words of it differ, a window of one mask has none
+of them. Masks of which this isn't so are replaced by a run of words that always is left equal.
+
 Nulls and odd rows: null and empty texts have no words and no hits. Items with fewer words than a mask spans have no
 seeds and are never found. A document with a null id can't be named and is not reported. Repeated documents and items
 are judged like any other; the result has one row for each pair of ids.
@@ -14,14 +17,16 @@ are judged like any other; the result has one row for each pair of ids.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import check_columns, written
 
-#: Places of a window whose words count.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9))
+#: Places of a window whose words count. These two hit all stretches of 9 words or more with a quarter of them replaced.
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
 #: Seeds of the benchmark (16 bytes and two small numbers each) are broadcast up to so many, else merge-joined.
 BROADCAST_SEEDS = 1_000_000
 #: Alignments to verify (three numbers each) are broadcast to the documents up to so many, else merge-joined.
@@ -35,6 +40,22 @@ def words(text: Column) -> Column:
     return F.split(clean, OTHER)
 
 
+def hit_all(masks: Sequence[Sequence[int]], length: int, wrong: int) -> bool:
+    """Whether any choice of `wrong` words out of `length` leaves some window of some mask without one of them."""
+    if comb(length, wrong) > 100_000:  # too many to try
+        return False
+    windows = [{b + o for o in mask} for mask in masks for b in range(length - max(mask))]
+    return all(any(w.isdisjoint(c) for w in windows) for c in combinations(range(length), wrong))
+
+
+def complete(masks: Sequence[Sequence[int]], length: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """The masks, if they hit all stretches of that length with `share` of their words equal; else the longest run of
+    equal words that every such stretch has."""
+    equal = max(1, ceil(share * length))
+    wrong = length - equal
+    return tuple(map(tuple, masks)) if hit_all(masks, length, wrong) else (tuple(range(ceil(equal / (wrong + 1)))),)
+
+
 def seeds(hashes: Column, mask: Sequence[int], number: int) -> Column:
     """The seeds of all windows of an array of word hashes, in order; an empty array if it is shorter than the mask."""
     span = max(mask) + 1
@@ -53,8 +74,9 @@ def seeded(df: DataFrame, key: str, masks: Sequence[Sequence[int]]) -> DataFrame
     # the null seed of a text without windows joins with nothing.
     rows = arrays.select(key, *[f"n{k}" for k in range(len(masks) - 1)], F.posexplode_outer("all").alias("at", "seed"))
     at = F.col("at")
-    if len(masks) == 2:  # a place beyond the first mask's windows belongs to the second
-        at = F.when(at >= F.col("n0"), at - F.col("n0")).otherwise(at)
+    for k in range(len(masks) - 1):  # a place beyond a mask's windows belongs to a later one
+        before = sum((F.col(f"n{j}") for j in range(k + 1)), F.lit(0))
+        at = F.when(F.col("at") >= before, F.col("at") - before).otherwise(at)
     return rows.select(key, "seed", at.alias("at"))
 
 
@@ -69,8 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, share
     would begin in the document), n_words and n_equal (of the item), best_stretch (equal words in its best stretch)."""
     check_columns(docs, doc_id, text)
     check_columns(benchmark, item_id, item_text)
-    if len(masks) > 2:
-        raise ValueError("one or two masks")
+    masks = complete(masks, stretch, share)
     items = written(benchmark.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text)).alias("words")), "items")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = written(seeded(items, "item_id", masks).select("item_id", "seed", F.col("at").alias("item_at")).where(F.col("seed").isNotNull()).distinct(), "seeds")

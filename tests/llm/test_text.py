@@ -210,6 +210,45 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table, benchmark.where("false")).count() == 0
 
 
+def overlaps(docs, items, stretch=13, share=0.75):
+    """All pairs that the comparison accepts at any alignment, without masks."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for i, text in docs:
+        w = cut(text)
+        for j, item in items:
+            v = cut(item)
+            n = min(stretch, len(v))
+            for shift in range(1 - len(v), len(w)):
+                same = [0 <= shift + k < len(w) and w[shift + k] == v[k] for k in range(len(v))]
+                if n and max(sum(same[k : k + n]) for k in range(len(v) - n + 1)) >= np.ceil(share * n):
+                    out.add((i, j))
+    return out
+
+
+def test_decontamination_misses_no_accepted_stretch(spark):
+    from itertools import combinations
+
+    draw = random.Random(21)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    passage = [f"word{k}" for k in range(13)]
+    items = [(0, " ".join(passage)), (1, " ".join(f"long{k}" for k in range(60)))] + [(j, " ".join(draw.choice(words) for _ in range(draw.randint(9, 30)))) for j in range(2, 10)]
+    replaced = [" ".join("other" if k in c else w for k, w in enumerate(passage)) for c in combinations(range(13), 3)]
+    docs = list(enumerate(["a b " + t + " c" for t in replaced]))
+    docs.append((300, " ".join("other" if k % 4 == 3 else f"long{k}" for k in range(60))))
+    for i in range(301, 361):  # a quarter of an item's words replaced, some cut off at the document's ends
+        copy = items[2 + i % 8][1].split()
+        for k in draw.sample(range(len(copy)), len(copy) // 4):
+            copy[k] = "other"
+        docs.append((i, " ".join(copy[draw.choice([0, 0, 2]) :])))
+    table = frame(spark, [(i, t, None, None, 0) for i, t in docs])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for stretch, share, masks in ((13, 0.75, decontamination.MASKS), (13, 0.6, decontamination.MASKS), (9, 0.75, ((0, 1, 3, 4, 6, 7), (0, 2), (0, 1, 2)))):
+        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table, benchmark, stretch, share, masks).collect()}
+        assert got == overlaps(docs, items, stretch, share)
+        assert stretch != 13 or {(i, 0) for i in range(286)} | {(300, 1)} <= got
+
+
 def test_decontamination_runs_without_python(spark):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontamination.contaminated(frame(spark), benchmark)._jdf.queryExecution().toString()
