@@ -81,6 +81,29 @@ def join_null_safe(spark, sf):
     return hash_join(left_orders(spark, sf).where("o_orderkey % 50 = 0"), right_customers(spark, sf).where("c_acctbal > 9000"), ["ck"], ["k"], key_cmp=["IS"])
 
 
+#: All orders and all customers; a CASE makes the null keys, and the nulled customers are what other keys miss.
+WHOLE_L, WHOLE_R = L.replace(" WHERE o_orderkey % 3 <> 1", ""), R.replace(" WHERE c_acctbal > 2000", "")
+#: A bounded number of null keys on either side, since under IS all of them meet.
+FEW_L, FEW_R = WHOLE_L.replace("o_orderkey % 10 = 0", "o_orderkey <= 40"), WHOLE_R.replace("c_custkey % 7 = 0", "c_custkey <= 7")
+
+
+def whole_orders(spark, sf, null: str = "o_orderkey % 10 = 0"):
+    return load(spark, sf, "orders").select("o_orderkey", F.expr(f"CASE WHEN {null} THEN NULL ELSE o_custkey END").alias("ck"), "o_totalprice", "o_orderpriority")
+
+
+def whole_customers(spark, sf, null: str = "c_custkey % 7 = 0"):
+    return load(spark, sf, "customer").select(F.expr(f"CASE WHEN {null} THEN NULL ELSE c_custkey END").alias("k"), "c_name", "c_nationkey", "c_acctbal")
+
+
+def whole_join(how: str, **options) -> Query:
+    return lambda spark, sf: hash_join(whole_orders(spark, sf), whole_customers(spark, sf), ["ck"], ["k"], how, **options)
+
+
+@registered(f"SELECT {BOTH} FROM {FEW_L} JOIN {FEW_R} ON l.ck IS NOT DISTINCT FROM r.k")
+def join_whole_null_safe(spark, sf):
+    return hash_join(whole_orders(spark, sf, "o_orderkey <= 40"), whole_customers(spark, sf, "c_custkey <= 7"), ["ck"], ["k"], key_cmp=["IS"])
+
+
 SUPPLY = "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45) AS r"
 
 
@@ -114,6 +137,14 @@ for _not, _kind in (("", "semi"), ("NOT ", "anti")):
     registered(f"SELECT {RIGHT_ONLY} FROM {R} WHERE {_not}EXISTS (SELECT 1 FROM {L} WHERE {FULL_MATCH})", f"join_residual_right_{_kind}")(join_query(f"right_{_kind}", residual=richer))
 
 
+for _prefix, _match, _options in (("join_whole", "l.ck = r.k", {}), ("join_whole_residual", FULL_MATCH, {"residual": richer})):
+    for _how, _sql in PAIRED.items():
+        registered(f"SELECT {BOTH} FROM {WHOLE_L} {_sql} {WHOLE_R} ON {_match}", f"{_prefix}_{_how}")(whole_join(_how, **_options))
+    for _not, _kind in (("", "semi"), ("NOT ", "anti")):
+        registered(f"SELECT {LEFT_ONLY} FROM {WHOLE_L} WHERE {_not}EXISTS (SELECT 1 FROM {WHOLE_R} WHERE {_match})", f"{_prefix}_left_{_kind}")(whole_join(f"left_{_kind}", **_options))
+        registered(f"SELECT {RIGHT_ONLY} FROM {WHOLE_R} WHERE {_not}EXISTS (SELECT 1 FROM {WHOLE_L} WHERE {_match})", f"{_prefix}_right_{_kind}")(whole_join(f"right_{_kind}", **_options))
+
+
 @registered("SELECT o_totalprice, o_orderkey, c_mktsegment, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_output_select(spark, sf):
     return hash_join(load(spark, sf, "orders"), load(spark, sf, "customer"), ["o_custkey"], ["c_custkey"], left_output=["o_totalprice", "o_orderkey"], right_output=["c_mktsegment", "c_custkey"])
@@ -151,6 +182,16 @@ def join_anti_empty_build(spark, sf):
     return hash_join(left_orders(spark, sf), right_customers(spark, sf).where("false"), ["ck"], ["k"], "left_anti")
 
 
+@registered(f"SELECT {BOTH} FROM {WHOLE_L} JOIN (SELECT * FROM {WHOLE_R} WHERE FALSE) AS r ON l.ck = r.k")
+def join_whole_empty_build(spark, sf):
+    return hash_join(whole_orders(spark, sf), whole_customers(spark, sf).where("false"), ["ck"], ["k"])
+
+
+@registered(f"SELECT {LEFT_ONLY} FROM {WHOLE_L}")
+def join_whole_anti_empty_build(spark, sf):
+    return hash_join(whole_orders(spark, sf), whole_customers(spark, sf).where("false"), ["ck"], ["k"], "left_anti")
+
+
 # ------------------------------------------------------------------ aggregates
 
 #: A place for each line item, the same for equal items only.

@@ -55,3 +55,15 @@ def test_scans_read_what_they_need(spark):
     plan = catalog.queries()["join_agg"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
     assert "PushedFilters: [IsNotNull(o_custkey)]" in plan and "partial_" in plan
+
+
+@needs_data
+def test_whole_joins_take_every_order_and_customer(spark):
+    orders, customers = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("orders", "customer"))
+    run = lambda name: catalog.queries()[name](spark, DATA)
+    assert run("join_whole_left_outer").select("o_orderkey").distinct().count() == orders
+    assert run("join_whole_right_outer").select("c_name").distinct().count() == customers
+    assert run("join_whole_left_semi").count() + run("join_whole_left_anti").count() == orders
+    assert run("join_whole_anti_empty_build").count() == orders
+    same = run("join_whole_null_safe")
+    assert same.where("ck IS NULL").count() > 0 and same.where("ck IS NOT NULL").count() > 0
