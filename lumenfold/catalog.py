@@ -396,6 +396,44 @@ def union_of_right_joins(spark, sf):
     return Pipeline("eight", [Channel(f"s{i}", source(i), [pipes[i]]) for i in range(8)], sink).compile()
 
 
+WHOLE_SHARED = "(SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier)"
+
+
+@registered(f"SELECT nation, balance, n_name FROM {WHOLE_SHARED} RIGHT JOIN nation ON nation = n_nationkey")
+def union_whole_shared_right_join(spark, sf):
+    pipe = join_pipe("nations", load(spark, sf, "nation"), ["nation"], ["n_nationkey"], "right_outer", right_output=["n_name"])
+    return Pipeline("whole shared", [Channel(t, keyed(spark, sf, t).drop("origin"), [pipe]) for t in KEYS]).compile()
+
+
+def whole_eight_sql() -> str:
+    source = lambda i: f"SELECT {EIGHT[i][1]} AS k FROM {EIGHT[i][0]}"
+    joined = lambda body, t, key: f"SELECT k, {key} AS j FROM ({body}) RIGHT JOIN {t} ON k = {key}"
+    groups = ((0,), (1,), (2,), (3,), (4, 5), (6, 7))
+    return " UNION ALL ".join(joined(" UNION ALL ".join(map(source, g)), *SIDES[EIGHT[g[0]][1]]) for g in groups)
+
+
+@registered(f"SELECT j, count(*) AS n, count(k) AS matched FROM ({whole_eight_sql()}) GROUP BY j")
+def union_of_whole_right_joins(spark, sf):
+    """The eight sources of union_of_right_joins, each with all rows of its table."""
+
+    def pipe(i):
+        table, key = SIDES[EIGHT[i][1]]
+        return join_pipe(f"join{i}", load(spark, sf, table).select(F.col(key).alias("j")), ["k"], ["j"], "right_outer")
+
+    pipes = {i: pipe(i) for i in (0, 1, 2, 3, 4, 6)}
+    pipes |= {5: pipes[4], 7: pipes[6]}
+    sink = lambda df: aggregate(df, ["j"], [Agg("hash_count_all", name="n"), Agg("hash_count", "k", "matched")])
+    sources = [load(spark, sf, table).select(F.col(key).alias("k")) for table, key, _ in EIGHT]
+    return Pipeline("whole eight", [Channel(f"s{i}", sources[i], [pipes[i]]) for i in range(8)], sink).compile()
+
+
+@registered("SELECT o_orderkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, -o_totalprice FROM orders")
+def union_whole_map_pipes(spark, sf):
+    orders = load(spark, sf, "orders")
+    signed = lambda name, sign: map_pipe(name, lambda df: df.select(F.col("o_orderkey").alias("k"), (sign * F.col("o_totalprice")).alias("v")))
+    return Pipeline("whole maps", [Channel("plus", orders, [signed("plus", 1)]), Channel("minus", orders, [signed("minus", -1)])]).compile()
+
+
 @registered("SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, -o_totalprice FROM orders WHERE o_orderkey % 5 = 0")
 def union_map_pipes(spark, sf):
     orders = load(spark, sf, "orders")

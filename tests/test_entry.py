@@ -67,3 +67,13 @@ def test_whole_joins_take_every_order_and_customer(spark):
     assert run("join_whole_anti_empty_build").count() == orders
     same = run("join_whole_null_safe")
     assert same.where("ck IS NULL").count() > 0 and same.where("ck IS NOT NULL").count() > 0
+
+
+@needs_data
+def test_whole_channels_take_every_row(spark):
+    run = lambda name: catalog.queries()[name](spark, DATA)
+    rows = {t: spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("orders", "customer", "supplier", "lineitem", "events")}
+    assert run("union_whole_map_pipes").count() == 2 * rows["orders"]
+    assert run("union_whole_shared_right_join").where("nation IS NOT NULL").count() == rows["customer"] + rows["supplier"]
+    matched = run("union_of_whole_right_joins").agg({"matched": "sum"}).first()[0]
+    assert 0.9 * 2 * (rows["orders"] + 2 * rows["lineitem"] + rows["events"]) < matched
