@@ -298,6 +298,16 @@ def agg_scalar_product(spark, sf):
     return aggregate(load(spark, sf, "lineitem").where("l_orderkey < 8"), [], [Agg("product", "l_linenumber", "v", {"exact": True})])
 
 
+SIGN = "CASE WHEN l_linenumber = 3 THEN NULL WHEN l_quantity > 25 THEN -1 ELSE 1 END"
+
+
+@registered(f"SELECT CAST(product({SIGN}) AS BIGINT) AS v, CAST(product(CASE WHEN l_orderkey = 1 THEN l_linenumber ELSE {SIGN} END) AS BIGINT) AS w FROM lineitem")
+def agg_scalar_whole_product(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.expr(SIGN).alias("sign"), F.expr(f"CASE WHEN l_orderkey = 1 THEN l_linenumber ELSE {SIGN} END").alias("few"))
+    out = aggregate(rows, [], [Agg("product", "sign", "v"), Agg("product", "few", "w", {"exact": True})])
+    return out.withColumn("v", F.col("v").cast("long"))
+
+
 @registered("SELECT l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_orderkey")
 def agg_hash_product(spark, sf):
     return aggregate(load(spark, sf, "lineitem"), ["l_orderkey"], [Agg("hash_product", "l_linenumber", "p")]).select("l_orderkey", F.col("p").cast("long").alias("v"))

@@ -78,9 +78,12 @@ def mean(c: Column, skip_nulls: bool = True, min_count: int = 1) -> Column:
 
 
 def product(c: Column, skip_nulls: bool = True, min_count: int = 1, exact: bool = False) -> Column:
-    """The product as double; exact=True multiplies integers one by one, as a long, in no particular order."""
+    """The product as double; exact=True multiplies integers as a long, in no particular order. Of these only values
+    beyond 1 and -1 are collected, of which 64 or more overflow; a zero makes the product 0."""
     if exact:
-        value = F.when(F.count(c) > 0, F.aggregate(F.collect_list(c), F.lit(1).cast("long"), lambda a, x: a * x))
+        sign = F.when(F.count_if(c == -1) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("long")
+        factors = F.collect_list(F.when((c > 1) | (c < -1), c))
+        value = F.when(F.count_if(c == 0) > 0, F.lit(0).cast("long")).when(F.count(c) > 0, F.aggregate(factors, sign, lambda a, x: a * x))
     else:
         value = F.product(c)
     return enough(value, c, skip_nulls, min_count)

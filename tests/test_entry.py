@@ -77,3 +77,21 @@ def test_whole_channels_take_every_row(spark):
     assert run("union_whole_shared_right_join").where("nation IS NOT NULL").count() == rows["customer"] + rows["supplier"]
     matched = run("union_of_whole_right_joins").agg({"matched": "sum"}).first()[0]
     assert 0.9 * 2 * (rows["orders"] + 2 * rows["lineitem"] + rows["events"]) < matched
+
+
+def test_exact_product_collects_few_values(spark):
+    from lumenfold.operators import Agg, aggregate
+
+    rows = spark.range(200_000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL WHEN id IN (1, 2, 3) THEN id + 1 WHEN id % 2 = 0 THEN -1 ELSE 1 END AS x")
+    negative = sum(i % 7 != 0 and i not in (1, 2, 3) and i % 2 == 0 for i in range(200_000))
+    exact = lambda df: aggregate(df, [], [Agg("product", "x", "v", {"exact": True})])
+    assert exact(rows).first().v == 24 * (-1) ** negative
+    assert exact(rows.where("false")).first().v is None
+    big = spark.range(100).selectExpr("CASE WHEN id = 99 THEN 0 ELSE 9 END AS x")
+    assert exact(big).first().v == 0  # the others alone overflow
+
+
+@needs_data
+def test_whole_product_reads_every_line(spark):
+    plan = catalog.queries()["agg_scalar_whole_product"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: []" in plan and "Filter (" not in plan
