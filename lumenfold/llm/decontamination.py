@@ -1,22 +1,24 @@
 """Benchmark decontamination by spaced seeds. DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased. A mask is a fixed set of places in a short window; a window's seed is
+Words are runs of letters and digits, lower-cased; in scripts that don't part words by spaces each letter is one. A mask is a fixed set of places in a short window; a window's seed is
 the hash of the words at those places, so that words at the other places may differ. Seeds of the benchmark items are
 joined with seeds of all windows of all documents. A hit gives an item, a document and their alignment; around it the
 item's and the document's words are compared place by place, and the document is contaminated by the item if some
 stretch of `stretch` words (or the whole item, if it is shorter) has at least `share` of them equal.
 
 The masks miss no stretch that the comparison would accept: whichever words of it differ, a window of one mask has none
-of them. Masks of which this isn't so are replaced by a run of words that always is left equal.
+of them. An item shorter than a stretch has masks by its own number of words: the same, the lighter ones of SHORT, or a
+run of words that always is left equal, the first of these that miss nothing. Documents have windows of those masks only
+that some item needs. Where no word may differ (one to three words at a share of 0.75) the seed is of the whole item.
 
-Nulls and odd rows: null and empty texts have no words and no hits. Items with fewer words than a mask spans have no
-seeds and are never found. A document with a null id can't be named and is not reported. Repeated documents and items
+Nulls and odd rows: null and empty texts have no words and no hits. An item of one word is found in every document that
+has the word. A document with a null id can't be named and is not reported. Repeated documents and items
 are judged like any other; the result has one row for each pair of ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import ceil, comb
 
@@ -27,16 +29,21 @@ from .common import check_columns, written
 
 #: Places of a window whose words count. These two hit all stretches of 9 words or more with a quarter of them replaced.
 MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
+#: For items of 4 to 8 words, a quarter of them replaced.
+SHORT = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Seeds of the benchmark (16 bytes and two small numbers each) are broadcast up to so many, else merge-joined.
 BROADCAST_SEEDS = 1_000_000
 #: Alignments to verify (three numbers each) are broadcast to the documents up to so many, else merge-joined.
 BROADCAST_HITS = 500_000
 OTHER = r"[^\p{L}\p{N}]+"
+#: Letters of scripts without spaces between words.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def words(text: Column) -> Column:
     """The text's words; an array with one empty word if it has none."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"\A{OTHER}|{OTHER}\z", "")
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 ")
+    clean = F.regexp_replace(apart, rf"\A{OTHER}|{OTHER}\z", "")
     return F.split(clean, OTHER)
 
 
@@ -49,11 +56,14 @@ def hit_all(masks: Sequence[Sequence[int]], length: int, wrong: int) -> bool:
 
 
 def complete(masks: Sequence[Sequence[int]], length: int, share: float) -> tuple[tuple[int, ...], ...]:
-    """The masks, if they hit all stretches of that length with `share` of their words equal; else the longest run of
-    equal words that every such stretch has."""
+    """The masks, if they hit all stretches of that length with `share` of their words equal; else SHORT if it does; else
+    the longest run of equal words that every such stretch has."""
     equal = max(1, ceil(share * length))
     wrong = length - equal
-    return tuple(map(tuple, masks)) if hit_all(masks, length, wrong) else (tuple(range(ceil(equal / (wrong + 1)))),)
+    run = tuple(range(ceil(equal / (wrong + 1))))
+    if wrong == 0:
+        return (run,)
+    return next((tuple(map(tuple, m)) for m in (masks, SHORT) if hit_all(m, length, wrong)), (run,))
 
 
 def seeds(hashes: Column, mask: Sequence[int], number: int) -> Column:
@@ -63,10 +73,14 @@ def seeds(hashes: Column, mask: Sequence[int], number: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + o) for o in mask]))
 
 
-def seeded(df: DataFrame, key: str, masks: Sequence[Sequence[int]]) -> DataFrame:
-    """key, seed, at (the word at which its window begins), from columns key and words."""
-    hashed = df.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    arrays = hashed.select(key, *[seeds(F.col("hashes"), mask, k).alias(f"m{k}") for k, mask in enumerate(masks)])
+def seeded(df: DataFrame, key: str, masks: Sequence[Sequence[int]], needed: Callable[[int], Column] | None = None) -> DataFrame:
+    """key, seed, at (the word at which its window begins), from columns key and words. needed(number) says of a row
+    whether it has seeds of that mask; all do by default."""
+    none = F.array().cast("array<bigint>")
+    hashed = df.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    arrays = [seeds(F.col("hashes"), mask, k) for k, mask in enumerate(masks)]
+    arrays = [F.when(needed(k), a).otherwise(none) for k, a in enumerate(arrays)] if needed else arrays
+    arrays = hashed.select(key, *[a.alias(f"m{k}") for k, a in enumerate(arrays)])
     # One generator for all masks: the arrays in a row, and how many windows the earlier masks have.
     sizes = [F.size(f"m{k}") for k in range(len(masks))]
     arrays = arrays.select(key, F.concat(*[f"m{k}" for k in range(len(masks))]).alias("all"), *[s.alias(f"n{k}") for k, s in enumerate(sizes[:-1])])
@@ -91,20 +105,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, share
     would begin in the document), n_words and n_equal (of the item), best_stretch (equal words in its best stretch)."""
     check_columns(docs, doc_id, text)
     check_columns(benchmark, item_id, item_text)
-    masks = complete(masks, stretch, share)
-    items = written(benchmark.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text)).alias("words")), "items")
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text)).alias("words"))
+    items = written(items.withColumn("n", F.least(F.lit(stretch), F.size("words"))).where(F.col("words")[0] != ""), "items")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = written(seeded(items, "item_id", masks).select("item_id", "seed", F.col("at").alias("item_at")).where(F.col("seed").isNotNull()).distinct(), "seeds")
+    # The items' numbers of words, up to a stretch, and the masks of each.
+    wanted = {r.n: complete(masks, r.n, share) for r in items.select("n").distinct().collect()}
+    if not wanted:
+        wanted = {stretch: complete(masks, stretch, share)}
+    used = list(dict.fromkeys(m for n in sorted(wanted, reverse=True) for m in wanted[n]))
+    exact = [n for n in wanted if ceil(share * n) >= n]
+    named = items.withColumn("item", F.struct("item_id", F.col("n").isin(exact).alias("whole")))
+    known = seeded(named, "item", used, lambda k: F.col("n").isin([n for n in wanted if used[k] in wanted[n]]))
+    known = written(known.where(F.col("seed").isNotNull()).select("item.*", "seed", F.col("at").alias("item_at")).distinct(), "seeds")
     if known.count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)
-    windows = seeded(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id", masks)
-    hits = windows.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = written(hits, "hits")
+    windows = seeded(texts.select("doc_id", words(F.col("text")).alias("words")), "doc_id", used)
+    hits = windows.join(known, "seed").select("doc_id", "item_id", "whole", (F.col("at") - F.col("item_at")).alias("shift"))
+    # Of an item that must be equal as a whole the first place is enough.
+    hits = hits.groupBy("doc_id", "item_id", F.when(~F.col("whole"), F.col("shift")).alias("place")).agg(F.min("shift").alias("shift"))
+    hits = written(hits.select("doc_id", "item_id", "shift"), "hits")
     small = hits.count() <= BROADCAST_HITS
-    aligned = texts.join(F.broadcast(hits) if small else hits, "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
+    # The words of a document with hits are written once, however many hits it has; also, Spark would otherwise put the
+    # splitting of the text into the function of each word.
+    hit = hits.select("doc_id").distinct()
+    cut = written(texts.join(F.broadcast(hit) if small else hit, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("words")), "cut")
+    aligned = cut.join(F.broadcast(hits) if small else hits, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
     # A word of the item that would lie before or behind the document has no partner: get() gives null there.
-    # Written, since Spark would otherwise put the splitting of the text into the function of each word.
-    aligned = written(aligned.withColumn("words", words(F.col("text"))).drop("text"), "aligned")
     same = F.transform("item", lambda w, i: F.coalesce((F.get("words", i + F.col("shift")) == w).cast("int"), F.lit(0)))
     aligned = aligned.select("doc_id", "item_id", "shift", F.size("item").alias("n_words"), same.alias("same"))
     length = F.least(F.lit(stretch), F.col("n_words"))

@@ -249,6 +249,28 @@ def test_decontamination_misses_no_accepted_stretch(spark):
         assert stretch != 13 or {(i, 0) for i in range(286)} | {(300, 1)} <= got
 
 
+def test_decontamination_finds_short_items(spark):
+    draw = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    items = [(n, " ".join(draw.sample(words, n))) for n in range(1, 14)] + [(20, "why"), (21, "one two three four five six seven eight"), (22, None), (23, " ?! ")]
+    docs = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 40)))) for i in range(30)]
+    for n, item in items[:15]:  # verbatim, and with any one word and any two words replaced
+        copy = item.split()
+        for a in range(len(copy)):
+            for b in range(a, len(copy)):
+                docs.append((len(docs), "x y " + " ".join("other" if k in (a, b) else w for k, w in enumerate(copy)) + " z"))
+        docs.append((len(docs), f"x {item.upper()}? z {item}"))
+    docs += [(len(docs), ""), (len(docs) + 1, None)]
+    table = frame(spark, [(i, t, None, None, 0) for i, t in docs])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.contaminated(table, benchmark).collect()]
+    assert len(got) == len(set(got)) and set(got) == overlaps(docs, items)
+    # A question without spaces, inside longer runs.
+    question = spark.createDataFrame([(1, "日本の首都はどこですか"), (2, "ดี")], "item_id long, text string")
+    texts = [(1, "さて日本の首都はどこですかと聞いた", None, None, 0), (2, "大阪の名物は何でしょう", None, None, 0), (3, "日本の首都はここですか", None, None, 0)]
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, texts), question).collect()) == [(1, 1), (3, 1)]
+
+
 def test_decontamination_runs_without_python(spark):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = decontamination.contaminated(frame(spark), benchmark)._jdf.queryExecution().toString()
