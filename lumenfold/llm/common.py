@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,11 @@ from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a Python worker; the arrays made from them stay within some tens of MB.
 SLICE_CHARS = 2_000_000
+#: Bytes of an Arrow batch between the JVM and Python (a single longer row is a batch of its own), unless the session
+#: names a bound of its own. Spark's default holds 64 MB, several times over, beside the heap.
+BATCH_BYTES = 4 << 20
+#: Tables in the shared folder that are dropped when the scratch block around them ends.
+OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,17 +39,64 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one. It is dropped when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/lumenfold-{spark.sparkContext.applicationId}"
+    seen = spark.sparkContext.__dict__.setdefault("_lumenfold_folders", set())
+    if path not in seen:
+        seen.add(path)
+        atexit.register(dropped, spark, path)
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of this package; what can't be deleted any more, as the JVM is gone, stays."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    except Exception as e:  # noqa: BLE001  at the end of a session, py4j raises errors of many kinds
+        print(f"lumenfold: {path} was not deleted: {e}")
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor costs nothing that was finished."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumenfold-{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    if OPEN:
+        OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are dropped when it ends; only what is written after it may outlive it."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in OPEN.pop():
+            dropped(spark, path)
+
+
+def result_of(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a table; all tables that make() wrote on its way are dropped."""
+    with scratch(spark):
+        out = written(make(), name)
+        path = OPEN[-1].pop()
+    if OPEN:
+        OPEN[-1].append(path)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each session, so that they need not have it installed."""
+    """Sends this package to the executors' Python, once for each session, so that they need not have it installed, and
+    bounds the Arrow batches of a session that doesn't."""
     context = spark.sparkContext
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) == "67108864b":
+        spark.conf.set(bound, str(BATCH_BYTES))
     if not getattr(context, "_lumenfold_shipped", False):
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         folder = tempfile.mkdtemp(prefix="lumenfold-")
@@ -91,14 +145,25 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def spread_sample(df: DataFrame, rows: int, doc_id: str = "doc_id") -> DataFrame:
-    """About `rows` rows of df, chosen by a hash of the id, so that the choice does not depend on order or layout."""
+    """At most `rows` rows of df, chosen by a hash of the id, so that the choice does not depend on order or layout.
+    Only if one id has so many rows that the hash alone doesn't hold the bound, a limit does."""
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 20)) < int(rows * (1 << 20) / n))
+    aim = max(1.0, rows - 4 * rows**0.5)
+    sample = df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 40)) < int(aim * (1 << 40) / n))
+    return sample.limit(rows) if sample.count() > rows else sample
 
 
 def check_columns(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:
             raise ValueError(f"no column {name!r}; there are {df.columns}")
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """name, with underscores before it until no table has such a column."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
