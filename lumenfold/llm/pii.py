@@ -1,12 +1,14 @@
 """Personal data by anchor expansion.
 
 One pass of an Aho-Corasick automaton over a text finds anchors: at-signs, plus signs, URL schemes, digits and the cue
-words of accounts. At each anchor a deterministic local parser looks left and right for the boundaries of an email
-address, an IP address, a card, a phone number, a URL or an account number, and validates what it found (address parts
-up to 255, card checksum, digit counts, IBAN checksum). The base kinds are leftmost and don't overlap within a kind.
-
-A null or empty text has no spans. Ids may repeat or be null: there is one output row for each input row.
-Spans are [start, end) in code points.
+words of accounts and credentials. At each anchor a deterministic local parser looks left and right for the boundaries of
+an email address, an IP address, a card, a phone number, a URL, an account number or a credential, and validates what it
+found (address parts up to 255, card checksum, digit counts, IBAN checksum, a credential's length and make). The base
+kinds are leftmost; spans of one kind don't overlap.
+
+A null or empty text has no spans. Ids may repeat or be null: there is one output row for each input row, and none for an
+empty table. Spans that begin together are listed by kind. A very long text is parsed as a whole, in one pass: no parser
+goes back behind its kind's last match. Spans are [start, end) in code points.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import check_columns, map_arrow
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "url")
+KINDS = (*BASE, "account", "secret", "url")
 #: What redaction replaces; URLs by themselves are no personal data.
-PERSONAL = (*BASE, "account")
-#: Words before an account or identity number.
-CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
+PERSONAL = (*BASE, "account", "secret")
+# Words before an account or identity number, and words (or ends of names) before a credential.
+ACCOUNTS = ("iban", "bic", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "conto", "ssn", "nif", "dni", "passport", "reisepass", "passeport", "pasaporte")
+SECRETS = ("token", "secret", "password", "passwd", "passphrase", "passwort", "contraseña", "pwd", "api_key", "api-key", "apikey", "access_key", "accesskey", "secret_key", "private_key", "auth_key", "credential", "credentials", "bearer", "authorization")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -37,7 +40,15 @@ ADDRESS = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 REST = re.compile(r"[^\s<>\"'`{}|\\^\x00-\x20]+")
-NUMBER = re.compile(r"(?:[ \t]*(?:no\.?|nr\.?|number|[:#=]))*[ \t]*([A-Za-z0-9]{2,}(?:[ -]?[A-Za-z0-9]{1,6}){1,10})")
+LEAD = re.compile(r"(?:[ \t]*(?:no\.?|nr\.?|number|[:#=]))*[ \t]*")
+GROUP = re.compile(r"[A-Za-z0-9]+")
+COUNTRY = re.compile(r"[A-Z]{2}[0-9]{2}", re.IGNORECASE)
+#: Code points of an IBAN, at least and at most, by its standard; code points of a credential at least.
+IBAN_LENGTHS, SECRET_LENGTH = (15, 34), 8
+#: From a cue to its value: the end of a quoted name, a sign of assignment (or none after "bearer"), a scheme's name.
+GIVEN = re.compile(r"[\"']?[ \t]*(?::=|=>|[:=])[ \t]*(?:(?:bearer|basic|token)[ \t]+)?", re.IGNORECASE)
+QUOTED = {q: re.compile(rf"[^{q}\n]*") for q in "\"'`"}
+BARE = re.compile(r"[^\s\"'`,;<>()\[\]{}]+")
 
 
 @lru_cache(maxsize=1)
@@ -48,9 +59,10 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    for cue in CUES:
-        for form in {cue, cue.title(), cue.upper()}:
-            found.add_word(form, ("cue", len(form)))
+    for what, cues in (("account", ACCOUNTS), ("secret", SECRETS)):
+        for cue in cues:
+            for form in {cue, cue.title(), cue.capitalize(), cue.upper()}:
+                found.add_word(form, (what, len(form)))
     found.make_automaton()
     return found
 
@@ -67,20 +79,57 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def account_end(text: str, start: int) -> tuple[int, int] | None:
-    """The number after a cue that ends at start: an IBAN, or groups with six digits at least and no lower-case word."""
-    m = NUMBER.match(text, start)
-    if not m:
+def iban_end(text: str, at: int) -> int | None:
+    """The end of the longest IBAN that begins at `at`; its groups may be parted by single spaces or hyphens."""
+    if not COUNTRY.match(text, at):
         return None
-    groups, at = re.split(r"([ -])", m[1]), m.start(1)
-    end, digits = at, 0
-    for i in range(0, len(groups), 2):
-        if not (has := sum(c in DIGITS for c in groups[i])):
+    length, end = 0, None
+    while m := GROUP.match(text, at):
+        length += len(m[0])
+        if length > IBAN_LENGTHS[1]:
+            break
+        if length == len(m[0]):
+            begin = at
+        at = m.end()
+        if length >= IBAN_LENGTHS[0] and iban(text[begin:at]):
+            end = at
+        if text[at : at + 1] not in (" ", "-"):
             break
-        end += len(groups[i]) + (1 if i else 0)
-        digits += has
-    if digits >= 6 or iban(text[at:end]):
+        at += 1
+    return end
+
+
+def account_end(text: str, start: int) -> tuple[int, int] | None:
+    """The number after a cue that ends at start: an IBAN, or groups that each have a digit, with six digits at least."""
+    at = LEAD.match(text, start).end()
+    if end := iban_end(text, at):
         return at, end
+    end, digits, next_ = at, 0, at
+    while (m := GROUP.match(text, next_)) and (has := sum(c in DIGITS for c in m[0])):
+        end, digits = m.end(), digits + has
+        if text[end : end + 1] not in (" ", "-"):
+            break
+        next_ = end + 1
+    return (at, end) if digits >= 6 and end - at > 6 else None
+
+
+def secret_end(text: str, start: int, bearer: bool) -> tuple[int, int] | None:
+    """The credential after a cue that ends at start: what stands in quotes or up to white space behind an assignment. It
+    has SECRET_LENGTH code points at least, and unless it is quoted, letters and digits both."""
+    if m := GIVEN.match(text, start):
+        at = m.end()
+    elif bearer and text[start : start + 1] in (" ", "\t"):
+        at = start + 1
+    else:
+        return None
+    if (q := text[at : at + 1]) in QUOTED:
+        m = QUOTED[q].match(text, at + 1)
+        if len(m[0]) >= SECRET_LENGTH and text[m.end() : m.end() + 1] == q and not any(map(str.isspace, m[0])):
+            return at + 1, m.end()
+        return None
+    m = BARE.match(text, at)
+    if m and len(value := m[0].rstrip(".!?:")) >= SECRET_LENGTH and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+        return at, at + len(value)
     return None
 
 
@@ -124,6 +173,10 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if start < at and (m := REST.match(text, at + 3)) and (end := at + 3 + len(m[0].rstrip(".,;:!?)]"))) > at + 3:
                 after["url"] = end
                 found.append((start, end, "url"))
+        elif what == "secret":  # may end a longer name, such as access_token, but not begin one
+            if at >= after["secret"] and (value := secret_end(text, last + 1, text[at].lower() == "b")):
+                after["secret"] = value[1]
+                found.append((*value, "secret"))
         elif at >= after["account"] and not (at and text[at - 1].isalnum()) and (number := account_end(text, last + 1)):
             after["account"] = number[1]
             found.append((*number, "account"))
@@ -154,7 +207,8 @@ def redacted(text: str, found) -> str:
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_account, n_url.
+    """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_account, n_secret,
+    n_url, base_sha256, spans.
 
     A narrow map without a shuffle; memory is bounded by a slice of texts.
     """
