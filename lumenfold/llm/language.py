@@ -10,14 +10,16 @@ The n-gram counts are learned from a bounded sample of labelled documents (`trai
 
 Nulls and odd rows: a null text, or one without a letter, is `und` with score 0 and no spans. Rows without a language
 teach nothing. Letters of a script that no learned language uses favour no language; if a text has no others, the most
-frequent learned language is given with score 1/number of languages. Without any labelled row every text is `und`.
-Ids may repeat or be null: there is one output row for each input row.
+frequent learned language is given with score 1/number of languages and no spans. Without any labelled row every text is
+`und`. Languages that score a word equally, or share a text's letters equally, go in alphabetical order. Ids may repeat
+or be null: there is one output row for each input row, and no rows give none. A very long text is labelled as a whole:
+memory holds its words times the languages. A model has 0.8 MB for each learned language, of which any number may be.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from collections.abc import Collection
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +31,10 @@ from .common import check_columns, held_out, map_arrow, slices, spread_sample
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-REMEMBERED = 200_000
+#: Words whose scores a task remembers.
+REMEMBERED = 100_000
+#: Bytes of text labelled together, with up to LANGUAGES languages; with more, less.
+LABELLED, LANGUAGES = 500_000, 16
 REMEMBERED_LENGTH = 64
 
 # First code points of script ranges; letters elsewhere count as "other".
@@ -78,7 +83,6 @@ class LanguageModel:
     logs: np.ndarray  # orders x buckets x languages
     uses: np.ndarray  # scripts x languages: whether the language uses the script
     commonest: int
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (words x languages) and the number of letters of each word."""
@@ -102,7 +106,7 @@ def learn(docs: DataFrame, train_docs: int = 20_000, doc_id: str = "doc_id", tex
     def count(batches):
         held: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for langs, texts in slices(batches):
+        for langs, texts in slices(batches, 1, LABELLED):
             for name in set(langs):
                 seen: dict[str, int] = {}
                 for one, t in zip(langs, texts, strict=True):
@@ -148,10 +152,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     by_time = scores[order]
     active = np.bincount(time)
     ends = np.cumsum(active)
-    back = np.zeros(by_time.shape, np.int8)
-    states = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.int8 if scores.shape[1] < 128 else np.int32
+    back = np.zeros(by_time.shape, kind)
+    states = np.arange(scores.shape[1], dtype=kind)
     value = by_time[: active[0]].copy()
-    finals = np.zeros(len(lengths), np.int8)
+    finals = np.zeros(len(lengths), kind)
     for t in range(1, len(active)):
         n = active[t]
         finals[n : active[t - 1]] = value[n : active[t - 1]].argmax(1)
@@ -162,7 +167,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         back[ends[t - 1] : ends[t]] = np.where(stay, states, best[:, None])
         value = np.where(stay, value, switched) + by_time[ends[t - 1] : ends[t]]
     finals[: active[-1]] = value.argmax(1)
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), kind)
     state = finals.copy()
     for t in range(len(active) - 1, -1, -1):
         n, begin = active[t], ends[t] - active[t]
@@ -234,7 +239,7 @@ def languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, doc_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        labeller = labeller_of(shared, penalty)
+        labeller = Labeller(shared.value, penalty)
 
         def each(columns):
             found = labeller.label([t or "" for t in columns[2]])
@@ -243,34 +248,33 @@ def languages(docs: DataFrame, model: LanguageModel, penalty: float = 12.0, doc_
         return each
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return map_arrow(rows, make, "doc_id long, held_out boolean, lang_pred string, score double, spans string", text=2)
+    return map_arrow(rows, make, "doc_id long, held_out boolean, lang_pred string, score double, spans string", text=2, chars=labelled_together(model))
 
 
-LABELLERS: dict = {}
+def labelled_together(model: LanguageModel) -> int:
+    return LABELLED * LANGUAGES // max(LANGUAGES, len(model.languages))
 
 
-def labeller_of(shared, penalty: float) -> Labeller:
-    """A worker keeps the labeller of the model it used last, with the words it remembers."""
-    key = (shared.value.key, penalty)
-    if key not in LABELLERS:
-        LABELLERS.clear()
-        LABELLERS[key] = Labeller(shared.value, penalty)
-    return LABELLERS[key]
+def determined(docs: DataFrame, model: LanguageModel, least: float = 0.5, accepted: Collection[str] | None = None, penalty: float = 12.0, text: str = "text") -> DataFrame:
+    """The rows of docs in one of the `accepted` languages (any learned one by default); all columns stay.
 
-
-def determined(docs: DataFrame, model: LanguageModel, least: float = 0.0, penalty: float = 12.0, text: str = "text") -> DataFrame:
-    """The rows of docs whose text has a determined language with a score of at least `least`; all columns stay."""
+    A text goes if it has no letter, if all its letters belong to scripts that no learned language uses, if less than
+    `least` of its letters lie in spans of its language, or if that language isn't accepted. If nothing could be learned
+    there is no ground to reject a text, and all rows stay."""
     check_columns(docs, text)
-    at = docs.columns.index(text)
+    if not model.languages:
+        return docs
+    wanted = frozenset(model.languages if accepted is None else accepted)
+    at, chars = docs.columns.index(text), labelled_together(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        labeller = labeller_of(shared, penalty)
+        labeller = Labeller(shared.value, penalty)
         for batch in batches:
             begin = 0
-            for columns in slices([batch.select([at])], 0):
+            for columns in slices([batch.select([at])], 0, chars):
                 found = labeller.label([t or "" for t in columns[0]])
-                keep = pa.array([name != UNDETERMINED and score >= least for name, score, _ in found], pa.bool_())
+                keep = pa.array([bool(spans) and name in wanted and score >= least for name, score, spans in found], pa.bool_())
                 yield batch.slice(begin, len(found)).filter(keep)
                 begin += len(found)
 
