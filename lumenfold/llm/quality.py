@@ -11,15 +11,16 @@ are not held out; labels, language, source and id are no inputs of a score. All
 
 Nulls and odd rows: a null or empty text is scored from its statistics (all 0). Rows without a label, or with a null
 one, teach nothing; several labels of one document count as several rows. Without any labelled row, or with one class
-only, every score is the share of label 1 (0.5 without rows). Ids may repeat or be null: one output row for each row.
+only, every score is the share of label 1 (0.5 without rows). Ids may repeat or be null: one output row for each row,
+and none for no rows. Equal texts have equal scores. A very long text is pooled as a whole; a long run without white
+space is read in pieces of its letters.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -35,15 +36,18 @@ WIDTH = 48
 NONZERO = 6
 WINDOW = 2
 STATISTICS = 9
-REMEMBERED = 250_000
-REMEMBERED_LENGTH = 64
+#: Tokens that a task remembers.
+REMEMBERED = 150_000
 
+#: A longer run of signs without white space is cut into runs of letters, these into pieces, and what lies between.
+LONG = 40
+PIECES = re.compile(r"[^\W\d_]{1,4}|[\W\d_]+")
 CORE = re.compile(r"[^\W\d_]+")
 TRAIL = re.compile(r"[\W_]+\Z")
 
 
 def shape(token: str) -> str:
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:40])
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token)
     return re.sub(r"(.)\1+", r"\1+", kinds)
 
 
@@ -52,10 +56,17 @@ def unit(part: str) -> int:
     return zlib.crc32(part.encode("utf-8", "replace")) % UNITS
 
 
+def tokens(text: str) -> list[str]:
+    found = text.split()
+    if found and max(map(len, found)) > LONG:
+        return [p for t in found for p in ((t,) if len(t) <= LONG else PIECES.findall(t))]
+    return found
+
+
 def units(token: str) -> tuple[int, int, int]:
     """Core, shape and trailing signs of a token as unit numbers; parts that are missing share one unit each."""
     word = token[:-1] if token[-1] in ",." else token
-    if word.isalpha() and word.islower() and word.isascii() and len(token) <= 40:  # the common case, without patterns
+    if word.isalpha() and word.islower() and word.isascii() and word:  # the common case, without patterns
         end = token[len(word) :]
         return zlib.crc32(b"c" + word.encode()) % UNITS, unit(("sx+" if len(word) > 1 else "sx") + end), unit("t" + end)
     core, trail = CORE.search(token), TRAIL.search(token)
@@ -94,7 +105,7 @@ class Reader:
         """Token ids of all texts in a row, tokens per text, distinct tokens per text; how many tokens were known."""
         if len(self.index) > REMEMBERED:
             self.forget()
-        cut = [t.split() for t in texts]
+        cut = [tokens(t) for t in texts]
         sets = [set(c) for c in cut]
         known = len(self.units)
         new = [w for w in set().union(*sets) if w not in self.index]
@@ -124,7 +135,6 @@ class QualityModel:
     layers: list = None
     temperature: float = 1.0
     base: float = 0.5
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def probabilities(self, vectors: np.ndarray) -> np.ndarray:
         if self.layers is None:
@@ -203,7 +213,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, doc_id:
     wanted = labels.where(~held_out(doc_id) & F.col(quality).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("quality"))
     wanted = F.broadcast(spread_sample(wanted, train_docs))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(wanted, "doc_id")
-    rows = written(rows, "labelled").coalesce(8)
+    rows = written(rows, "labelled")
+    # A task for each 1000 rows of the bounded sample; each sends one sum of context vectors to the driver.
+    rows = rows.coalesce(-(-train_docs // 1000))
     index = index_vectors()
 
     def count(batches):
@@ -255,23 +267,13 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, doc_id:
     return model
 
 
-POOLERS: dict[str, Pooler] = {}
-
-
-def pooler_of(model: QualityModel) -> Pooler:
-    if model.key not in POOLERS:
-        POOLERS.clear()
-        POOLERS[model.key] = Pooler(model)
-    return POOLERS[model.key]
-
-
 def scores(docs: DataFrame, model: QualityModel, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted. A narrow map without a shuffle."""
     check_columns(docs, doc_id, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        pooler = pooler_of(shared.value)
+        pooler = Pooler(shared.value)
 
         def each(columns):
             p = pooler.model.probabilities(pooler.vectors([t or "" for t in columns[2]]))
