@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced seeds. DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased; in scripts that don't part words by spaces each letter is one. A mask is a fixed set of places in a short window; a window's seed is
-the hash of the words at those places, so that words at the other places may differ. Seeds of the benchmark items are
-joined with seeds of all windows of all documents. A hit gives an item, a document and their alignment; around it the
-item's and the document's words are compared place by place, and the document is contaminated by the item if some
-stretch of `stretch` words (or the whole item, if it is shorter) has at least `share` of them equal.
+Words are runs of letters and digits, lower-cased; in scripts that don't part words by spaces each letter is one. A
+mask is a fixed set of places in a short window; a window's seed is the hash of the words at those places, so that words
+at the other places may differ. Seeds of the benchmark items are joined with seeds of all windows of all documents. A
+hit gives an item, a document and their alignment; around it the item's and the document's words are compared place by
+place, and the document is contaminated by the item if some stretch of `stretch` words (or the whole item, if it is
+shorter) has at least `share` of them equal.
 
 The masks miss no stretch that the comparison would accept: whichever words of it differ, a window of one mask has none
 of them. An item shorter than a stretch has masks by its own number of words: the same, the lighter ones of SHORT, or a
@@ -12,8 +13,10 @@ run of words that always is left equal, the first of these that miss nothing. Do
 that some item needs. Where no word may differ (one to three words at a share of 0.75) the seed is of the whole item.
 
 Nulls and odd rows: null and empty texts have no words and no hits. An item of one word is found in every document that
-has the word. A document with a null id can't be named and is not reported. Repeated documents and items
-are judged like any other; the result has one row for each pair of ids.
+has the word. A document with a null id can't be named and is not reported, and so can't an item. Repeated documents and
+items are judged like any other; the result has one row for each pair of ids. Of several places in a document the one
+with the best stretch counts, of equal ones that with more equal words, then the first. A very long text is one row while
+it is cut into words; beyond that, each of its hits carries an item's length of words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, written
+from .common import check_columns, fresh, result_of, written
 
 #: Places of a window whose words count. These two hit all stretches of 9 words or more with a quarter of them replaced.
 MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
@@ -102,11 +105,17 @@ def stretches(same: Column, length: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, share: float = 0.75, masks: Sequence[Sequence[int]] = MASKS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each pair of a document and an item that contaminates it: doc_id, item_id, doc_word (where the item
-    would begin in the document), n_words and n_equal (of the item), best_stretch (equal words in its best stretch)."""
+    would begin in the document), n_words and n_equal (of the item), best_stretch (equal words in its best stretch).
+    The result is a written table; what was written on the way is dropped."""
     check_columns(docs, doc_id, text)
     check_columns(benchmark, item_id, item_text)
+    names = (doc_id, text, item_id, item_text)
+    return result_of(docs.sparkSession, "pairs", lambda: compared(docs, benchmark, stretch, share, masks, *names))
+
+
+def compared(docs: DataFrame, benchmark: DataFrame, stretch: int, share: float, masks: Sequence[Sequence[int]], doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text)).alias("words"))
-    items = written(items.withColumn("n", F.least(F.lit(stretch), F.size("words"))).where(F.col("words")[0] != ""), "items")
+    items = written(items.withColumn("n", F.least(F.lit(stretch), F.size("words"))).where((F.col("words")[0] != "") & F.col("item_id").isNotNull()), "items")
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # The items' numbers of words, up to a stretch, and the masks of each.
     wanted = {r.n: complete(masks, r.n, share) for r in items.select("n").distinct().collect()}
@@ -129,10 +138,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, share
     # splitting of the text into the function of each word.
     hit = hits.select("doc_id").distinct()
     cut = written(texts.join(F.broadcast(hit) if small else hit, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("words")), "cut")
-    aligned = cut.join(F.broadcast(hits) if small else hits, "doc_id").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    # Of a document's words only the item's place goes on: what a hit costs depends on the item's length alone.
+    sized = hits.join(items.select("item_id", F.size("words").alias("n_words")), "item_id")
+    begin = F.greatest(F.col("shift"), F.lit(0))
+    placed = cut.join(F.broadcast(sized) if small else sized, "doc_id")
+    placed = written(placed.select("doc_id", "item_id", "shift", "n_words", F.slice("words", begin + 1, F.col("n_words")).alias("place")), "placed")
+    aligned = placed.join(items.select("item_id", F.col("words").alias("item")), "item_id")
     # A word of the item that would lie before or behind the document has no partner: get() gives null there.
-    same = F.transform("item", lambda w, i: F.coalesce((F.get("words", i + F.col("shift")) == w).cast("int"), F.lit(0)))
-    aligned = aligned.select("doc_id", "item_id", "shift", F.size("item").alias("n_words"), same.alias("same"))
+    skipped = F.least(F.col("shift"), F.lit(0))
+    same = F.transform("item", lambda w, i: F.coalesce((F.get("place", i + skipped) == w).cast("int"), F.lit(0)))
+    aligned = aligned.select("doc_id", "item_id", "shift", "n_words", same.alias("same"))
     length = F.least(F.lit(stretch), F.col("n_words"))
     aligned = written(aligned, "compared").withColumn("best_stretch", stretches(F.col("same"), length)).where(F.col("best_stretch") >= F.ceil(share * length))
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
@@ -143,6 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, share
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose id is in no contaminated pair; rows with a null id stay. All columns stay."""
-    bad = written(contaminated(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
+    name = fresh("bad_id", docs)
+    bad = result_of(docs.sparkSession, "contaminated", lambda: contaminated(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(name)).distinct())
     small = bad.count() <= BROADCAST_HITS
-    return docs.join(F.broadcast(bad) if small else bad, F.col(doc_id).cast("long") == F.col("_bad_id"), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, F.col(doc_id).cast("long") == F.col(name), "left_anti")
