@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import regex
 
-from .token_counts import SEPARATORS, WESTERN, WHITE, byte_symbols
+from .token_counts import SEPARATORS, WESTERN, WHITE, byte_symbols, special_strings
 
 #: Strings that a memory of a worker holds in one of its two generations.
 REMEMBERED = 400_000
@@ -62,9 +62,11 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.pattern = BYTE_PATTERN
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = special_strings(spec)
         if words:
-            with open(path, encoding="utf-8") as f:
-                pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.pieces = Memory(self.piece)
         self.known = Memory(self.ids)
@@ -79,7 +81,7 @@ class ChunkEncoder:
 
     def ids(self, chunk: str) -> bytes:
         """The ids of a chunk as little-endian 32-bit integers."""
-        if "<|" in chunk or chunk and max(chunk) > WESTERN:
+        if any(s in chunk for s in self.special) or chunk and max(chunk) > WESTERN:
             # May hold a special string, which the library looks for first, or what the pattern library may not know.
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         plain = chunk.isascii()

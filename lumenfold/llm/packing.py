@@ -12,13 +12,14 @@ moves whole runs. A round goes like this:
 
 Pieces that found no gap when a round ends open bins: the longest ones, as many as the waiting tokens need at least.
 Rounds repeat until no piece waits. A sweep's state is the number of pieces and bins of each size, at most 2 x `limit`
-numbers however many documents there are, so the sweeps run on the driver, and what they decide is a list of runs:
+numbers for sizes, and the runs of bins beside them, however many documents there are; so the sweeps run on the driver, and what they decide is a list of runs:
 "pieces of length l with ranks a to b go to bins c, c+1, ... at offset o". The documents stay distributed: each piece
 finds its rank among those of its length by counting (length, salt) groups, so that a length shared by a third of all
 rows is spread over many tasks, and looks its run up.
 
-Nulls and odd rows: a null or empty text is a document of the end id alone. Ids may repeat: each row is a document of
-its own, and equal rows are told apart by a number.
+Nulls and odd rows: a null or empty text is a document of the end id alone. Ids may repeat or be null: each row is a
+document of its own. Pieces of equal length are ranked by a salt, then by id; which of equal rows goes where is any
+choice. A very long text is encoded whole and cut into pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,13 +116,15 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, limit: int, words: bool,
 
     def cut(batches):
         encode = encoder(vocabulary, words).encode
+        row = 0  # of the task, so that equal rows get different salts; the pieces are written before anything reads them
         for ids, texts in slices(batches, 1, 500_000):
             out = []
             for i, data in zip(ids, encode([t or "" for t in texts], end), strict=True):
+                row += 1
                 for k, begin in enumerate(range(0, len(data), 4 * limit)):
                     part = data[begin : begin + 4 * limit]
                     crc = zlib.crc32(part)
-                    out.append((i, k, begin // 4, len(part) // 4, crc, zlib.crc32(f"{i}:{k}:{crc}".encode()) % SALTS))
+                    out.append((i, k, begin // 4, len(part) // 4, crc, (zlib.crc32(f"{i}:{k}:{crc}".encode()) + row) % SALTS))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)], PIECE_NAMES)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -6,7 +6,9 @@ pre-tokens; pre-tokens that were not seen lately are held together as one ragged
 every sequence has its lowest-ranked adjacent pair replaced at all its places at once. When no pair of a sequence has
 a rank, its surviving symbols are its tokens.
 
-A null or empty text has 0 bytes and 0 tokens. Ids may repeat or be null: there is one output row for each input row.
+A null or empty text has 0 bytes and 0 tokens. Ids may repeat or be null: there is one output row for each input row,
+and none for an empty table. Equal texts have equal counts. A very long text is counted as a whole; its pre-tokens are
+held once each.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ REMEMBERED = 300_000
 REMEMBERED_LENGTH = 80
 
 NONE = np.int64(1 << 40)
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+WHITE = regex.compile(r"\p{White_Space}+")
 
 
 def byte_symbols() -> list[str]:
@@ -61,6 +65,15 @@ def scanned(chunk: str) -> list[str]:
     return out
 
 
+def special_strings(spec: dict) -> list[str]:
+    """The strings that a vocabulary file wants found inside texts first. One with white space, or one that also takes
+    the space beside it or ignores case, would reach beyond the chunks that texts are cut into: such a file is refused."""
+    for token in spec["added_tokens"]:
+        if WHITE.search(token["content"]) or any(token.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"the added token {token['content']!r} needs more than its own text")
+    return [token["content"] for token in spec["added_tokens"] if token["content"]]
+
+
 class MergeCounter:
     """Counts the tokens of texts for one vocabulary file."""
 
@@ -84,7 +97,7 @@ class MergeCounter:
         np.minimum.at(lowest, left, np.arange(len(left)))
         np.minimum.at(lowest, right, np.arange(len(left)))
         self.one_by_one = lowest[self.result] < np.arange(len(left))
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = special_strings(spec)
         self.cut = regex.compile("(?:" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pre = regex.compile(pattern)
@@ -165,7 +178,7 @@ class MergeCounter:
             self.known.clear()
         specials, cut = [], []
         for t in texts:
-            if self.cut and "<|" in t:
+            if any(s in t for s in self.special):
                 pieces = self.cut.split(t)
                 specials.append(len(pieces) - 1)
                 cut.append([c for p in pieces for c in self.chunks(p)])
@@ -180,10 +193,6 @@ class MergeCounter:
         return [s + sum(map(known.__getitem__, chunks)) for s, chunks in zip(specials, cut, strict=True)]
 
 
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-WHITE = regex.compile(r"\p{White_Space}+")
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> MergeCounter:
     return MergeCounter(path)
