@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -167,3 +168,66 @@ def fresh(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def in_id_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, place, hash, text: ordered by place and hash, rows stand in ascending order of id (null first), equal ids
+    in the order of a hash of the text. Both numbers have at most 53 bits, so that Spark's percentiles, which count in
+    doubles, give elements of the columns."""
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    ends = docs.agg(F.min(i).alias("low"), F.max(i).alias("high")).first()
+    code = F.shiftrightunsigned(F.xxhash64(F.coalesce(t, F.lit(""))), 12)
+    if ends.low is None or ends.high - ends.low < 1 << 52:
+        place = F.coalesce(i - F.lit(ends.low or 0), F.lit(-1))
+    else:  # the low bits of far apart ids go before the hash
+        place = F.coalesce(F.shiftright(i, 12), F.lit(-(1 << 52)))
+        code = F.shiftleft(F.coalesce(i.bitwiseAND(4095), F.lit(0)), 40).bitwiseOR(F.shiftrightunsigned(code, 12))
+    return docs.select(i.alias("doc_id"), place.cast("long").alias("place"), code.cast("long").alias("hash"), t.alias("text"))
+
+
+class Cuts:
+    """Bounds that cut rows, ordered by place and then by hash, into ranges of about equal numbers of rows.
+
+    Row (place, hash) lies in the range behind the last bound that isn't greater. A place with more rows than a range
+    has bounds by hash as well, and where equal rows alone fill several ranges, they are dealt out by their number."""
+
+    #: Rows of a range, at most about, beside what the session's number of shuffle partitions asks for.
+    ROWS = 250_000
+    LOW = -1
+
+    def __init__(self, rows: DataFrame, parts: int | None = None):
+        """rows: as in_id_order() gives them. Only elements of place and hash go to the driver, one a range."""
+        n = rows.count()
+        parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // self.ROWS))
+        shares = [i / parts for i in range(1, parts)] or [0.5]
+        found = rows.agg(F.min("place").alias("first"), F.percentile_approx("place", shares, 10 * parts).alias("cuts")).first()
+        self.first, cuts = found.first, (list(found.cuts or []) if parts > 1 else [])
+        times = {c: cuts.count(c) for c in dict.fromkeys(cuts)}
+        often = {c: k for c, k in times.items() if k > 1}
+        self.least: dict[int, int] = {}
+        inner: dict[int, list[int]] = {}
+        if often:
+            most = max(often.values())
+            hot = rows.where(F.col("place").isin(list(often))).groupBy("place")
+            for r in hot.agg(F.min("hash").alias("least"), F.percentile_approx("hash", [i / most for i in range(1, most)], 10 * most).alias("cuts")).collect():
+                k = often[r.place]
+                self.least[r.place] = r.least
+                inner[r.place] = [r.cuts[i * most // k - 1] for i in range(1, k)]
+        self.bounds = sorted((c, h) for c in times for h in [self.least.get(c, self.LOW), *inner.get(c, [])])
+        if self.bounds and self.bounds[0] == (self.first, self.least.get(self.first, self.LOW)):
+            del self.bounds[0]  # nothing lies before it
+        self.ranges = len(self.bounds) + 1
+
+    def range_of(self, row: tuple[int, int], number: int) -> int:
+        low, high = bisect_left(self.bounds, row), bisect_right(self.bounds, row)
+        return low + 1 + number % (high - low) if high > low else high
+
+    def begun_by(self, row: tuple[int, int]) -> range:
+        """The ranges whose first row may be this one."""
+        if row[0] not in self.least:
+            row = row[0], self.LOW
+        return range(bisect_left(self.bounds, row) + 1, bisect_right(self.bounds, row) + 1)
+
+    def is_first(self, row: tuple[int, int]) -> bool:
+        """Whether no row lies before this one, but perhaps some of a place with few rows."""
+        return row[0] == self.first and self.least.get(row[0], row[1]) == row[1]

@@ -20,7 +20,9 @@ are those of 1 to 4 levels that need the fewest bits for the shard.
 The shards are the binary column of an uncompressed Parquet table, one row each, so that any file system Spark reads
 will do, the commit protocol drops the output of lost tasks, and a reader needs only the row it wants.
 
-Null texts are empty documents (the end id alone). Equal ids are ordered by text; a null id comes first.
+Null texts are empty documents (the end id alone). A null id comes first; equal ids are ordered by a hash of the text,
+and repeated rows stand beside each other in any order. A document is never split: one beyond SHARD_IDS ids is a shard of
+its own, and a very long text is encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_encoder import encoder
-from .common import check_columns, map_arrow, shared_folder, slices
+from .common import Cuts, check_columns, in_id_order, map_arrow, own_folder, slices
 
 MAGIC = b"LDAC1\0"
 BLOCK = 512
@@ -161,24 +163,26 @@ class Shard:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, words: bool = False, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of all documents, each with the id `end` after it, to `path` in ascending order of doc_id.
 
-    Ids from the table cut it into `parts` ranges of equal row counts, whatever the sources or lengths are; one shuffle,
-    of compressed texts, brings a range together.
+    Bounds from the table cut it into `parts` ranges of about equal row counts, whatever the sources or lengths are and
+    also where one id has many rows; one shuffle, of compressed texts, brings a range together.
     Columns: part and shard (their order is the documents' order), before (ids of the part before this shard), n_ids,
     doc_ids, data.
     """
     check_columns(docs, doc_id, text)
-
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("cuts")).first().cuts
-    bounds = np.array(sorted(set(cuts or [])) if parts > 1 else [], np.int64)
+    rows = in_id_order(docs, doc_id, text)
+    cuts = Cuts(rows, parts)
 
     def shrink():
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        number = 0
 
         def each(columns):
-            data = [squeeze((t or "").encode()) for t in columns[1]]
-            ranges = np.searchsorted(bounds, np.array([-(1 << 63) if i is None else i for i in columns[0]], np.int64), "right")
-            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(columns[0], pa.int64()), pa.array(data, pa.binary())], ["range", "doc_id", "data"])
+            nonlocal number
+            ids, places, hashes, texts = columns
+            data = [squeeze((t or "").encode()) for t in texts]
+            ranges = [cuts.range_of(row, number + k) for k, row in enumerate(zip(places, hashes, strict=True))]
+            number += len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64()), pa.array(data, pa.binary())], ["range", "doc_id", "place", "hash", "data"])
 
         return each
 
@@ -204,9 +208,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int, wor
         if n:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    small = map_arrow(rows, shrink, "range int, doc_id long, data binary")
-    ranged = small.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("doc_id", "data").select("doc_id", "data")
+    small = map_arrow(rows, shrink, "range int, doc_id long, place long, hash long, data binary", text=3)
+    ranged = small.repartitionById(cuts.ranges, F.col("range")).sortWithinPartitions("place", "hash", "data").select("doc_id", "data")
     ranged.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -231,6 +234,9 @@ def read_token_files(spark, path: str) -> DataFrame:
             for part, before, doc_ids, data in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "doc_ids", "data")), strict=True):
                 shard = Shard(data)
                 ids, starts = shard.all(), shard.starts
+                for b in starts[1:].tolist():  # every document's last id, read by itself, must be what the levels give
+                    if shard.id(b - 1) != ids[b - 1]:
+                        raise ValueError(f"shard at id {first[part] + before} is damaged")
                 sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts[:-1] + (first[part] + before)), pa.array(np.diff(starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -238,4 +244,5 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def token_file_path(spark) -> str:
-    return f"{shared_folder(spark)}/lumenfold-tokens-{uuid.uuid4().hex}"
+    """A folder for token files that is dropped with the application; give write_token_files() a path to keep them."""
+    return f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
