@@ -50,7 +50,7 @@ COARSE, FINE = 0.2, 3.0
 #: Tables of one or two numbers a row are broadcast up to so many rows, else merge-joined.
 BROADCAST_ROWS = 1_000_000
 #: Sketch words that a task counts together before it sends them.
-BLOCK_KEYS = 1_000_000
+BLOCK_KEYS = 500_000
 #: Words of 64 bits in the sketch that candidates are tested with before their sets are.
 BITS = 16
 #: Bytes of text whose words are hashed together; longer words are hashed one by one.

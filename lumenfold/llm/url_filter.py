@@ -3,17 +3,20 @@
 Every page has an outcome, bad (1) or good (0), or none (null). The bad rate of a host is a beta-binomial posterior:
 its own outcomes, shrunk towards the rate of its registered domain, which is shrunk towards its suffix's rate, and that
 towards the rate of all pages. How strongly each level shrinks (its prior's weight, in pages) is estimated from the
-data by the method of moments. A host is blocked if the lower bound of its posterior bad rate reaches `bad_rate`, so
-that a few bad pages on a small host don't suffice. Bounds use the normal approximation of the beta posterior.
+data by the method of moments. A host is blocked if the lower bound of its posterior bad rate, a quantile of the beta
+distribution, reaches `bad_rate`, so that a few bad pages on a small host don't suffice.
 
 Nulls and odd rows: a null url, or one without "://", has an empty host and path, fits no rule, and counts as the host
 "" whose domain and suffix are "" too. A page without an outcome (null html) is judged, but teaches nothing. With no
-outcome at all, nothing is blocked by the method. Page ids may repeat or be null; each input row gives one output row.
+outcome at all, nothing is blocked by the method. Page ids may repeat or be null; each input row gives one output row,
+and repeated rows count as pages of their own. Of rules that fit equally long, the last by host and path wins. A very
+long page is read once by patterns that go over no sign twice: an unclosed script or comment hides the rest of the page.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +64,25 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return text, verdict
 
 
-def page_outcome(html: Column, symbols: float = 0.03, capitals: float = 0.5) -> Column:
-    """1 if the page's visible text is junk: many of the signs %*#$&!|, mostly capitals, or no words; null for null."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[a-z]+;|&#[0-9]+;", " ")
-    text = F.regexp_replace(text, r"\s+", "")
-    size = F.length(text)
-    signs = size - F.length(F.translate(text, "%*#$&!|", ""))
-    small = F.length(F.translate(text, UPPER, ""))
-    return F.when(html.isNull(), None).otherwise(((size == 0) | (signs > symbols * size) | (size - small > capitals * size)).cast("int"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: What a page doesn't show: scripts, styles, comments, tags, entities. None of these goes back over what it has read.
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]*(?:>|\z)|&(?:[a-z]+|#[0-9]+);"
+# Words of an address under which such trades advertise.
+TRADES = ("casino", "poker", "bets", "betting", "lottery", "pills", "viagra", "pharma", "xxx", "porn", "escort", "payday", "replica")
+
+
+def page_outcome(html: Column, url: Column, symbols: float = 0.03, capitals: float = 0.5) -> Column:
+    """1 if the page is bad: its host bears a word of TRADES, or its visible text is junk (many of the signs %*#$&!|,
+    mostly capitals, or nothing at all); else 0. Null for a null page."""
+    count = lambda text, pattern: F.length(F.regexp_replace(text, pattern, ""))
+    size = lambda text: count(text, r"\s+")
+    junk = let(F.regexp_replace(html, HIDDEN, " "), lambda t: let(size(t), lambda n: (n == 0) | (count(t, r"[^%*#$&!|]+") > symbols * n) | (count(t, "[^A-Z]+") > capitals * n)))
+    trade = F.coalesce(host_and_path(url)[0].rlike(rf"(^|[^a-z])({'|'.join(TRADES)})([^a-z]|$)"), F.lit(False))
+    return F.when(html.isNull(), None).when(trade, 1).otherwise(junk.cast("int"))
 
 
 def attached(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -94,8 +108,34 @@ def prior_weight(groups: DataFrame, mean: float) -> float:
     return spread / variance - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host -> bad_rate, lower, upper, from a table with columns host and outcome (1, 0 or null).
+#: Steps of the posterior's log odds, and how many standard deviations they reach to either side.
+STEPS, REACH = 400, 10
+
+
+def beta_quantile(a: Column, b: Column, p: float) -> Column:
+    """The p-quantile of Beta(a, b), by the trapezoidal rule over the log odds u = ln(x / (1 - x)).
+
+    There the density is exp(a ln x + b ln(1 - x)) up to a factor: smooth for any a, b > 0, highest at ln(a / b), with a
+    variance of at most 1/a + 1/a^2 + 1/b + 1/b^2. The quantile is interpolated in the cumulated density."""
+    spread = F.sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b))
+    step = spread * (2.0 * REACH / STEPS)
+    first = F.log(a / b) - spread * REACH
+    # ln(1 - x) = -ln(1 + e^u) and ln x = u + ln(1 - x); 1 + e^u must not overflow, so e^-|u| is used.
+    rest = lambda u: -(F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))))
+    log_density = lambda u: a * (u + rest(u)) + b * rest(u)
+    top = log_density(F.log(a / b))
+    weights = let(top, lambda t: F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.exp(log_density(first + i * step) - t)))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+    # at: how many steps the cumulated density lies below the goal, with the part of the step that reaches it.
+    reached = lambda w, goal: F.aggregate(w, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("at")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["at"] + F.when(s["sum"] + x <= goal, 1.0).when(s["sum"] < goal, (goal - s["sum"]) / x).otherwise(0.0)).alias("at")))["at"]
+    # A weight stands for the step around its place.
+    u = let(weights, lambda w: let(total(w) * p, lambda goal: reached(w, goal))) - 0.5
+    return let(first + u * step, lambda v: 1 / (1 + F.exp(-v)))
+
+
+def host_reputation(outcomes: DataFrame, tail: float = 0.05) -> DataFrame:
+    """host -> host_pages, bad_rate, lower, upper, from a table with columns host and outcome (1, 0 or null): the mean of
+    the posterior and the quantiles that leave `tail` below and above.
 
     Outcomes are summed by host before anything is shuffled; the levels above are sums of sums.
     """
@@ -115,9 +155,9 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = attached(hosts, domains, "domain")
     a = F.col("bad") + weight * F.col("domain_rate")
     b = F.col("n") - F.col("bad") + weight * (1 - F.col("domain_rate"))
-    sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    rate = a / (a + b)
-    return hosts.select("host", F.col("n").alias("host_pages"), rate.alias("bad_rate"), F.greatest(F.lit(0.0), rate - z * sd).alias("lower"), F.least(F.lit(1.0), rate + z * sd).alias("upper"))
+    hosts = hosts.select("host", F.col("n").alias("host_pages"), a.alias("a"), b.alias("b"))
+    of = F.col("a"), F.col("b")
+    return hosts.select("host", "host_pages", (of[0] / (of[0] + of[1])).alias("bad_rate"), beta_quantile(*of, tail).alias("lower"), beta_quantile(*of, 1 - tail).alias("upper"))
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], outcome: Column, bad_rate: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -128,6 +168,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], outcom
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     # The outcome reads the whole page; the verdicts read the page's id and address alone.
     hosts = host_reputation(pages.select(host.alias("host"), outcome.alias("outcome")))
+    hosts = hosts.withColumns({c: F.round(c, 6) for c in ("bad_rate", "lower", "upper")})
     judged = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     judged = attached(judged.withColumns({"rule": rule, "by_rule": verdict}), hosts, "host")
     by_host = F.when(F.col("lower") >= bad_rate, "block").otherwise("allow")
