@@ -51,6 +51,20 @@ def test_registered(spark, name):
         assert n == spark.read.parquet(f"{DATA}/{table}.parquet").count()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    mine = queries.queries()[name](spark, DATA).toPandas()
+    theirs = con.execute(queries.oracle_sql()[name]).df()[list(mine.columns)]
+    plain = lambda df: sorted(df.astype(object).where(df.notna(), None).itertuples(index=False, name=None), key=str)
+    assert len(mine) and plain(mine) == plain(theirs)
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert len(corpus_pipeline.STAGES) == 5

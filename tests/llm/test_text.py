@@ -32,13 +32,54 @@ def test_language(spark):
     assert got[5].spans == "en:0:40,de:40:60" and got[5].lang_pred == "en" and 0.5 < got[5].score < 0.9
     assert got[6].lang_pred == "de"
     kept = language.determined(frame(spark, [(k, t, None, None, 0) for k, t in odd.items()]), model)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6] and kept.columns == frame(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 6] and kept.columns == frame(spark, []).columns
+    assert [r.doc_id for r in language.determined(frame(spark, [(k, t, None, None, 0) for k, t in odd.items()]), model, least=0.9).collect()] == [6]
+    assert [r.doc_id for r in language.determined(frame(spark, [(k, t, None, None, 0) for k, t in odd.items()]), model, accepted=["en"]).collect()] == [5]
+    repeated = frame(spark, [(7, odd[5], None, None, 0), (7, odd[5], None, None, 0), (None, odd[6], None, None, 0)])
+    assert sorted((str(r.doc_id), r.lang_pred) for r in language.languages(repeated, model).collect()) == [("7", "en"), ("7", "en"), ("None", "de")]
 
 
 def test_language_without_rows(spark):
     model = language.learn(empty(spark))
     assert model.languages == [] and language.languages(empty(spark), model).count() == 0
     assert {r.lang_pred for r in language.languages(frame(spark), model).collect()} == {"und"}
+    assert language.determined(frame(spark), model).count() == len(rows())
+
+
+def test_word_scores():
+    """Counts and scores of letter n-grams by plain loops, and more languages than a byte numbers."""
+    draw = random.Random(4)
+    names = [f"l{i:03}" for i in range(150)]
+    logs = np.random.Generator(np.random.PCG64(1)).normal(size=(3, language.BUCKETS, 150)).astype(np.float32)
+    uses = np.zeros((len(language.NAMES), 150), bool)
+    uses[language.NAMES.index("latin")] = True
+    uses[language.NAMES.index("greek"), 140:] = True
+    model = language.LanguageModel(names, logs, uses, 0)
+    words = ["".join(draw.choice("abcé'αβЖ7") for _ in range(draw.randrange(1, 9))) for _ in range(200)]
+    scores, letters = model.word_scores(words)
+    word, shift = (1 << 64) - 1, lambda x: x >> 48
+
+    def bucket(c):  # c: the letter two before, before, itself, after; 1 for what is no letter
+        mix = 0x9E3779B97F4A7C15
+        two = (c[1] * 0x100000001B3 + c[2]) * mix & word
+        three = ((two ^ c[3]) + 0x632BE59BD9B4E019) * mix & word
+        return shift(two), shift(three), shift(((three ^ c[0]) + 0x85157AF5) * mix & word)
+
+    for w, got, n in zip(words, scores, letters, strict=True):
+        padded = "\n\n" + w.lower() + "\n\n"
+        code = [ord(c) if c.isalpha() else 1 for c in padded]
+        want = np.zeros(150)
+        for i, c in enumerate(padded):
+            if c.isalpha():
+                script = "greek" if c in "αβ" else "cyrillic" if c == "ж" else "latin"
+                if script != "cyrillic":
+                    each = sum(logs[k][g].astype(np.float64) for k, g in enumerate(bucket(code[i - 2 : i + 2]))) / 3
+                    want += np.where(uses[language.NAMES.index(script)], each, -14)
+        assert n == sum(map(str.isalpha, w)) and np.allclose(got, want, atol=1e-3)
+    labels = language.viterbi(np.where(np.arange(150) == 149, 0.0, -1.0)[None].repeat(5, 0).astype(np.float32), np.array([5]), 1.0)
+    assert labels.tolist() == [149] * 5
+    found = language.Labeller(model, 0.0).label(["ααα βββ"])
+    assert found[0][0] >= "l140" and found[0][2]
 
 
 @settings(max_examples=60, deadline=None)
@@ -81,33 +122,108 @@ def test_temperature_calibrates():
 # ------------------------------------------------------------------ fingerprints
 
 
-def test_fingerprints_of_neighbours(spark):
-    data = rows()
-    got = {r.doc_id: r for r in fingerprint.edit_likeness(frame(spark, data), parts=7).collect()}
-    ordered, maker = sorted((i, t or "") for i, t, *_ in data), fingerprint.Fingerprinter()
-    assert len(got) == len(ordered)
-    for k, (i, text) in enumerate(ordered):
-        following = ordered[(k + 1) % len(ordered)][1]
+def plain_components(text):
+    """The selection recomputed k-mer by k-mer, with Python's integers."""
+    word = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 31)) * int(fingerprint.ODD[0]) & word
+        return x ^ (x >> 29)
+
+    if not text:
+        return [0] * fingerprint.SIZE
+    k = min(fingerprint.K, len(text))
+    grams = []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * int(fingerprint.ODD[1]) + ord(c)) & word
+        grams.append(mixed((h + k) & word))
+    bits = max(20, len(grams).bit_length())
+    numbered, seen = [], {}
+    for place, h in enumerate(grams):
+        h >>= bits
+        number = seen[h] = seen.get(h, -1) + 1
+        numbered.append((h, place, mixed((h * int(fingerprint.ODD[2]) + number) & word) >> 32))
+    out = []
+    for seed in map(int, fingerprint.SEEDS):
+        value = lambda key: (v := key * seed & 0xFFFFFFFF) ^ (v >> 15)  # noqa: B023, E731
+        chosen = sorted(numbered, key=lambda x: (value(x[2]), x[0], x[1]))[: fingerprint.TUPLE]  # noqa: B023
+        h = 0
+        for place in sorted(x[1] for x in chosen):
+            h = mixed((h * int(fingerprint.ODD[1]) + grams[place]) & word)
+        out.append(h >> 32)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab ", max_size=300)))
+def test_selection(text):
+    assert fingerprint.components(text).tolist() == plain_components(text)
+
+
+def test_selection_in_blocks():
+    draw = random.Random(3)
+    text = "".join(draw.choice("abcde ") for _ in range(3 * fingerprint.BLOCK + 17))
+    assert fingerprint.components(text).tolist() == plain_components(text)
+
+
+def neighbours(data, got):
+    """Each row's values against plain ones; got: rows by id and text."""
+    import xxhash
+
+    ordered = sorted(data, key=lambda d: (-(1 << 63) if d[0] is None else d[0], xxhash.xxh64_intdigest((d[1] or "").encode(), 42) >> 12))
+    want = []
+    for k, (i, text) in enumerate((i, t or "") for i, t in ordered):
+        following = ordered[(k + 1) % len(ordered)][1] or ""
         q = len(text) // 4
         changed = text[: len(text) - q] + following[:q]
-        mine, new, theirs = map(maker.components, (text, changed, following))
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint.hexadecimal(mine), fingerprint.hexadecimal(new))
-        assert (r.near_edited, r.near_next) == (float(np.mean(mine == new)), float(np.mean(mine == theirs)))
-    assert got[1004].fingerprint == got[1005].fingerprint
-    assert got[1000].fingerprint == got[1002].fingerprint == "0" * 8 * fingerprint.SIZE
+        mine, new, theirs = map(fingerprint.components, (text, changed, following))
+        want.append((str(i), len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprint.hexadecimal(mine), fingerprint.hexadecimal(new), float(np.mean(mine == new)), float(np.mean(mine == theirs))))
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+
+
+def test_fingerprints_of_neighbours(spark):
+    data = rows()
+    got = fingerprint.edit_likeness(frame(spark, data), parts=7).collect()
+    neighbours([d[:2] for d in data], got)
+    named = {r.doc_id: r for r in got}
+    assert named[1004].fingerprint == named[1005].fingerprint
+    assert named[1000].fingerprint == named[1001].fingerprint == "0" * 8 * fingerprint.SIZE
+
+
+@pytest.mark.parametrize("parts", [1, 2, 9, 40])
+def test_fingerprints_with_one_frequent_id(spark, parts):
+    draw = random.Random(parts)
+    data = [(draw.choice([None, None, 5, 5, draw.randrange(30)]), draw.choice([None, "same text"] + [f"{i} " * (1 + i % 4) for i in range(20)])) for _ in range(150)]
+    got = fingerprint.edit_likeness(frame(spark, [(i, t, None, None, 0) for i, t in data]), parts=parts).collect()
+    neighbours(data, got)
+
+
+def test_fingerprints_with_far_apart_ids(spark):
+    draw = random.Random(8)
+    data = [(draw.choice([None, draw.randrange(-(1 << 63), 1 << 63), (1 << 60) + draw.randrange(500)]), f"{i} {i % 3}") for i in range(200)]
+    got = fingerprint.edit_likeness(frame(spark, [(i, t, None, None, 0) for i, t in data]), parts=12).collect()
+    ids = sorted((d for d in data if d[0] is not None), key=lambda d: d[0])
+    following = {a[0]: fingerprint.edited(a[1], b[1]) for a, b in zip(ids, ids[1:], strict=False) if a[0] != b[0]}
+    found = {r.doc_id: r.edited_sha256 for r in got}
+    single = [i for i in following if [d[0] for d in ids].count(i) == 1]
+    assert len(got) == 200 and len(single) > 50
+    assert all(found[i] == hashlib.sha256(following[i].encode()).hexdigest() for i in single if [d[0] for d in ids].count(ids[[d[0] for d in ids].index(i) + 1][0]) == 1)
 
 
 def test_fingerprints_follow_edits_and_order():
-    draw, maker = random.Random(1), fingerprint.Fingerprinter()
+    draw = random.Random(1)
     words = [f"w{draw.randrange(10**6)}" for _ in range(400)]
-    near = lambda changed: fingerprint.likeness(maker.components(" ".join(words)), maker.components(" ".join(changed)))
+    near = lambda changed: fingerprint.likeness(fingerprint.components(" ".join(words)), fingerprint.components(" ".join(changed)))
     assert near(words) == 1
     assert near(words[:390]) > 0.8 > near(words[:300]) > near(words[:100])
     assert near(words[200:] + words[:200]) < 0.9  # the same words in another order
-    long = " ".join(words * 200)
-    assert len(maker.components(long)) == fingerprint.SIZE
+    letter = [w[:-1] + "x" if i % 8 == 0 else w for i, w in enumerate(words)]
+    assert 0.2 < near(letter) < 1  # a changed letter here and there
+    solid = "".join(words)
+    assert fingerprint.likeness(fingerprint.components(solid), fingerprint.components("y" + solid)) > 0.9
+    assert len(fingerprint.components(" ".join(words * 200))) == fingerprint.SIZE
 
 
 def test_fingerprint_edges(spark):
@@ -151,6 +267,15 @@ def test_more_spans():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_credentials():
+    text = """x token = "04dbebab91ab" thou; api_key: 'k-1234567', password=hunter22! "accessToken": "abcdefgh1", tokens are words; bearer AbC123xyz99 secret = short1 Konto 12-345678 IBAN GB29 NWBK 6016 1331 9268 19 end"""
+    found = [(k, text[a:b]) for a, b, k in pii.spans(text) if k in ("account", "secret")]
+    assert found == [("secret", "04dbebab91ab"), ("secret", "k-1234567"), ("secret", "hunter22"), ("secret", "abcdefgh1"), ("secret", "AbC123xyz99"), ("account", "12-345678"), ("account", "GB29 NWBK 6016 1331 9268 19")]
+    assert pii.redacted(text, pii.spans(text)).startswith('x token = "<secret>" thou')
+    long = "account " + "1 " * 50_000 + "account " * 20_000  # one pass, whatever stands there
+    assert len(pii.spans(long)) == 1
+
+
 def test_pii_query(spark):
     data = [(1, "mail x@y.zz or +1 (555) 010-9999, 10.0.0.1, 4111 1111 1111 1111", None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0), (4, "a@b " * 20_000, None, None, 0)]
     got = {r.doc_id: r for r in pii.personal_data(frame(spark, data)).collect()}
@@ -285,12 +410,12 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1?q#f", "https://example.org/en", "ftp://x.com/de/", "http://x.com/fr/a", "http://notorg/", "http://b.example.org", None, "no scheme", "", "a://h?x=/de/", "http://org/#"]
     pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)] + [(None, "http://x.net/", "<p>")], "page_id long, url string, html string").withColumn("rule", F.lit("clash"))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, RULES, url_filter.page_outcome(F.col("html"))).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, RULES, url_filter.page_outcome(F.col("html"), F.col("url"))).collect()}
     assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[1] == ("example.org", "/en", "org/", "allow")
     assert got[2][2:] == ("com/de/", "block") and got[3][2:] == ("com/fr/", "allow") and got[4] == ("notorg", "/", None, "allow")
     assert got[5] == ("b.example.org", "", None, "allow") and got[6][:3] == got[7][:3] == got[8][:3] == ("", "", None)
     assert got[9][:2] == ("h", "") and got[10] == ("org", "/", "org/", "allow") and None in got
-    assert url_filter.url_verdicts(pages.where("false"), RULES, url_filter.page_outcome(F.col("html"))).count() == 0
+    assert url_filter.url_verdicts(pages.where("false"), RULES, url_filter.page_outcome(F.col("html"), F.col("url"))).count() == 0
 
 
 def test_reputation_shrinks(spark):
@@ -300,6 +425,38 @@ def test_reputation_shrinks(spark):
     assert got["new.good.net"].bad_rate < got["new.bad.net"].bad_rate and got["none.good.net"].host_pages == 0
 
 
+def test_beta_quantiles(spark):
+    """Against quantiles of many draws, and against closed forms: Beta(1, b), Beta(a, 1)."""
+    draw = np.random.Generator(np.random.PCG64(5))
+    shapes = [(0.3, 5.0), (2.0, 7.5), (40.0, 3.0), (3000.0, 90.0), (0.2, 0.3), (1.0, 9.0), (6.0, 1.0)]
+    df = spark.createDataFrame(shapes, "a double, b double")
+    for p in (0.05, 0.5, 0.95):
+        for r in df.select("a", "b", url_filter.beta_quantile(F.col("a"), F.col("b"), p).alias("q")).collect():
+            sample = draw.beta(r.a, r.b, 200_000)
+            assert abs((sample <= r.q).mean() - p) < 0.005
+            exact = 1 - (1 - p) ** (1 / r.b) if r.a == 1 else p ** (1 / r.a) if r.b == 1 else r.q
+            assert r.q == pytest.approx(exact, abs=2e-4)
+
+
+def test_page_outcomes(spark):
+    pages = {"<p>good words here</p>": 0, "<p>%%% $$$ !!</p> a": 1, "<script>x": 1, "<!-- " * 30_000 + "hidden": 1, "<script>" * 30_000: 1, "<p>LOUD WORDS a</p>": 1, "": 1, "&amp;&#33; text <style>p{!!!!}</style>": 0, "<b>open": 0}
+    df = spark.createDataFrame([(h, "http://a.example/x") for h in pages] + [(None, "http://a.example/"), ("<p>fine</p>", "https://www.Best-CASINO.example/"), ("<p>fine</p>", "https://alphabets.example/")], "html string, url string")
+    got = [r.o for r in df.select(url_filter.page_outcome(F.col("html"), F.col("url")).alias("o")).collect()]
+    assert got == [*pages.values(), None, 1, 0]
+
+
+def test_method_decides_pages(spark):
+    """Pages without a rule, of hosts with good, bad and too few outcomes; repeated rows, a null id and an empty table."""
+    rows_ = [(i, f"http://shop-casino.example/{i}", "<p>some words</p>") for i in range(40)] + [(100 + i, f"http://news.example/{i}", "<p>some words</p>") for i in range(200)]
+    rows_ += [(900, "http://poker.tiny.test/", "<p>x</p>"), (901, "http://news.example/1", None), (None, "http://shop-casino.example/1", "<p>some words</p>")] + [(901, "http://news.example/1", None)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    got = url_filter.url_verdicts(pages, RULES, url_filter.page_outcome(F.col("html"), F.col("url"))).collect()
+    assert len(got) == len(rows_) and all(r.rule is None for r in got)
+    verdicts = {r.host: (r.verdict, r.lower) for r in got}
+    assert verdicts["shop-casino.example"][0] == "block" and verdicts["news.example"][0] == "allow"
+    assert verdicts["poker.tiny.test"][1] < verdicts["shop-casino.example"][1]
+
+
 def test_domains(spark):
     hosts = {"a.b.example.com": ("example.com", "com"), "x.co.uk": ("x.co.uk", "co.uk"), "y.x.co.uk": ("x.co.uk", "co.uk"), "com": ("com", "com"), "": ("", ""), "10.0.0.1": ("10.0.0.1", "10.0.0.1")}
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
@@ -363,6 +520,29 @@ def test_similarity(spark, width, percent, seed):
     assert got == linked(data, width, percent)
 
 
+def test_similarity_with_repeated_ids(spark):
+    """Rows with one id are one document: each gives a row, and the document links what either text is linked with."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    data = [(1, one), (2, two), (5, one), (5, two), (7, "z " + two), (8, None), (8, one), (9, "lone words")]
+    got = similarity.similar_documents(frame(spark, [(i, t, None, None, 0) for i, t in data])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 36, 1), (2, 36, 1), (5, 36, 1), (5, 36, 1), (7, 37, 1), (8, 0, 1), (8, 36, 1), (9, 1, 9)]
+    assert sorted(map(tuple, (r[:2] for r in similarity.one_of_each(frame(spark, [(i, t, None, None, 0) for i, t in data])).collect())), key=str) == [(1, one), (9, "lone words")]
+
+
+def test_sketches(spark):
+    draw = random.Random(2)
+    a = np.array(sorted(draw.sample(range(1 << 60), 300)), np.uint64)
+    b = np.array(sorted({*a.tolist()[20:], *draw.sample(range(1 << 60), 15)}), np.uint64)
+    apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(*(similarity.bit_sketch(s).view(np.uint64) for s in (a, b)), strict=True))
+    assert 0 < apart <= 35
+    text = "One  two\tTHREE " + "x" * 5000 + "\x0bfour ünï " * 3
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    starts, h = similarity.word_hashes(text.encode())
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    long = " ".join(f"w{i % 1000}" for i in range(300_000))  # several blocks of bytes
+    assert len(set(similarity.word_hashes(long.encode())[1].tolist())) == 1000
+
+
 def test_similarity_edges(spark):
     assert similarity.similar_documents(empty(spark)).count() == 0
     data = [(None, "one two three four five six", None, None, 0), (3, "one two three four five six", None, None, 0), (3, "one two three four five six", None, None, 0), (9, "one two three four five six", None, None, 0), (10, "x", None, None, 0)]
