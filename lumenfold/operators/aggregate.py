@@ -29,7 +29,8 @@ class Agg:
         for c in (*targets, *(v for k, v in self.options.items() if k in ("order_by", "position"))):
             if df.columns.count(c) != 1:
                 raise ValueError(f"column {c!r} is missing or ambiguous in {df.columns}")
-        return expression(self.function, targets, grouped, self.options).alias(self.name or "_".join((self.function, *targets)))
+        types = tuple(df.schema[c].dataType for c in targets)
+        return expression(self.function, targets, grouped, self.options, types).alias(self.name or "_".join((self.function, *targets)))
 
 
 def scalar_aggregate(df: DataFrame, aggregates: Sequence[Agg]) -> DataFrame:

@@ -24,9 +24,18 @@ JOIN_TYPES = {
     "right_semi": ("left_semi", True),
     "right_anti": ("left_anti", True),
 }
+#: Up to so many rows, and bytes of what they hold (by a bound for each row), a side is broadcast on request.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 256 << 20
 STRATEGIES = {"broadcast": "broadcast", "hash": "shuffle_hash", "merge": "merge"}
 
 
+def small(df: DataFrame) -> bool:
+    """Whether df is small enough to broadcast; reads no more than the rows that would be."""
+    some = df.limit(BROADCAST_ROWS + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")) if df.columns else df.limit(BROADCAST_ROWS + 1).select(F.lit(0).alias("n"))
+    found = some.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    return found.rows <= BROADCAST_ROWS and found.bytes <= BROADCAST_BYTES
+
+
 def hash_join(
     left: DataFrame,
     right: DataFrame,
@@ -46,7 +55,8 @@ def hash_join(
     default. Semi and anti joins return the side they keep. suffixes go to names that both outputs have.
     residual(l, r): a further condition, where l("x") and r("x") are columns of the sides. It is part of the join
     condition, so that outer rows without a full match stay and semi and anti joins test it.
-    strategy: a hint, "broadcast" (give it only for a right side of a checked size), "hash" or "merge".
+    strategy: a hint, "broadcast", "hash" or "merge". A side is broadcast only after its rows have been counted and
+    measured: beyond BROADCAST_ROWS or BROADCAST_BYTES the join is planned without the hint.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}; there are {', '.join(JOIN_TYPES)}")
@@ -72,6 +82,8 @@ def hash_join(
         tests.append(residual(of_left, of_right))
     condition = reduce(lambda a, b: a & b, tests)
     kind, swapped = JOIN_TYPES[how]
+    if strategy == "broadcast" and not small(l if swapped else r):
+        strategy = None
     if strategy:
         r = r.hint(STRATEGIES[strategy]) if not swapped else r
         l = l.hint(STRATEGIES[strategy]) if swapped else l  # noqa: E741

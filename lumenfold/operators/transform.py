@@ -35,11 +35,27 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """name, with underscores before it until no table has such a column."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def new_column(df: DataFrame, *names: str) -> None:
+    """An operator that adds columns must not replace the table's own."""
+    for name in names:
+        if name.lower() in map(str.lower, df.columns):
+            raise ValueError(f"the table already has a column {name!r}")
+
+
 def repeat_rows(df: DataFrame, times: int) -> DataFrame:
     """Every row `times` times: a generator inside the task, without a join or a shuffle."""
     if times < 0:
         raise ValueError("times must not be negative")
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)) if times else F.array().cast("array<int>"))).drop("_copy")
+    copy = fresh("copy", df)
+    return df.withColumn(copy, F.explode(F.sequence(F.lit(1), F.lit(times)) if times else F.array().cast("array<int>"))).drop(copy)
 
 
 def polynomial(df: DataFrame, times: int, extra: DataFrame, depth: int) -> DataFrame:
@@ -51,35 +67,36 @@ def polynomial(df: DataFrame, times: int, extra: DataFrame, depth: int) -> DataF
 
 def batches_of(df: DataFrame, size: int, order_by: Sequence[str], lane: str | None = None) -> DataFrame:
     """df with batch_id, which numbers runs of exactly `size` rows (the last may be shorter) in the given order, within
-    each lane. Without a lane the order is global: rows are numbered within range partitions, whose counts are summed on
-    the driver (a number for each partition), so that no task sees more than its range."""
+    each lane. The order is cut into ranges, and what is counted across them is a number for each range and lane, so that
+    no task sees more than its range, also if a lane has a third of all rows."""
     if size < 1:
         raise ValueError("size must be positive")
-    if lane is not None:
-        number = F.row_number().over(Window.partitionBy(lane).orderBy(*order_by)) - 1
-        return df.withColumn("batch_id", F.floor(number / size).cast("long"))
-    numbered = number_rows(df, order_by)
-    return numbered.withColumn("batch_id", F.floor(F.col("row_id") / size).cast("long")).drop("row_id")
+    new_column(df, "batch_id")
+    row_id = fresh("row_id", df)
+    numbered = number_rows(df, order_by, row_id, lane)
+    return numbered.withColumn("batch_id", F.floor(F.col(row_id) / size).cast("long")).drop(row_id)
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """df with row_id 0, 1, ... in a global order. Equal rows are ordered by all their sortable columns.
+def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_id", lane: str | None = None) -> DataFrame:
+    """df with a column `name`: 0, 1, ... in a global order, or in each lane's. Rows that are equal in order_by stand in
+    any order.
 
     The ordered rows are checkpointed, so that the counts and the rows come from the same ranges even if a task is run
     again.
     """
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_place", F.monotonically_increasing_id())
-    ranged = materialize(ranged)
-    before, total = [], 0
-    for part, n in sorted((r._part, r.n) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        before.append((part, total))
-        total += n
-    spark = df.sparkSession
-    starts = F.broadcast(spark.createDataFrame(before or [(0, 0)], "_part int, _start long"))
+    new_column(df, name)
+    part, place, start, group = (fresh(n, df) for n in ("part", "place", "start", "group"))
+    order = [lane, *order_by] if lane is not None else list(order_by)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
     # monotonically_increasing_id holds the place within the partition in its low 33 bits.
-    row_id = F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)
-    return ranged.join(starts, "_part").withColumn("row_id", row_id).drop("_part", "_place", "_start")
+    ranged = materialize(ranged.withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    own = F.col(lane) if lane is not None else F.lit(0)
+    runs = ranged.groupBy(F.col(part).alias(f"{part}_"), own.alias(group)).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    earlier = Window.partitionBy(group).orderBy(f"{part}_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(f"{part}_", group, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias(start))
+    # A row for each range (and lane in it): the window above sees the ranges of a lane, not its rows.
+    same = (F.col(part) == F.col(f"{part}_")) & own.eqNullSafe(F.col(group))
+    return ranged.join(runs, same).select(*df.columns, (F.col(start) + F.col(place)).alias(name))
 
 
 def materialize(df: DataFrame) -> DataFrame:

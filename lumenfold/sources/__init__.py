@@ -30,14 +30,16 @@ def from_batches(spark: SparkSession, batches: Sequence[pa.RecordBatch]) -> Data
 def parallel_source(df: DataFrame, lanes: int, order_by: Sequence[str], most: int) -> DataFrame:
     """df with lane and slice: contiguous ranges of ceil(n / lanes) rows in the given order, each in slices of at most
     `most` rows, as a parallel source would emit them."""
-    from ..operators.transform import number_rows
+    from ..operators.transform import fresh, new_column, number_rows
 
     if lanes < 1 or most < 1:
         raise ValueError("lanes and most must be positive")
+    new_column(df, "lane", "slice")
+    row_id = fresh("row_id", df)
     n = df.count()
     each = max(1, -(-n // lanes))
-    numbered = number_rows(df, order_by)
-    return numbered.select(*df.columns, F.floor(F.col("row_id") / each).cast("int").alias("lane"), F.floor(F.col("row_id") % each / most).cast("int").alias("slice"))
+    numbered = number_rows(df, order_by, row_id)
+    return numbered.select(*df.columns, F.floor(F.col(row_id) / each).cast("int").alias("lane"), F.floor(F.col(row_id) % each / most).cast("int").alias("slice"))
 
 
 def every_lane(df: DataFrame, lanes: int) -> DataFrame:
@@ -66,6 +68,18 @@ def memory_sink(df: DataFrame) -> list[Row]:
     return df.collect()
 
 
+def rows_of_partitions(df: DataFrame) -> dict[int, list[Row]]:
+    """The rows each partition holds, on the driver; for small results."""
+    part = df.columns and "part"
+    while part in df.columns:
+        part = f"_{part}"
+    found: dict[int, list[Row]] = defaultdict(list)
+    for r in df.withColumn(part, F.spark_partition_id()).collect():
+        values = r.asDict(recursive=False)
+        found[values.pop(part)].append(Row(**values))
+    return dict(found)
+
+
 def rows_by_partition(df: DataFrame) -> dict[int, int]:
     """How many rows each partition holds."""
     found: dict[int, int] = defaultdict(int)

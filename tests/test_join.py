@@ -106,3 +106,15 @@ def test_boolean_fixture(spark):
     full = spark.createDataFrame([(0, False), (0, True), (None, None), (1, False), (2, None), (5, True)], "i int, b boolean")
     count = lambda p, how: hash_join(p, build, ["i"], ["i"], how, suffixes=("", "_r")).count()
     assert [count(probe, "right_outer"), count(probe, "right_semi"), count(probe, "right_anti"), count(full, "full_outer")] == [28, 12, 12, 30]
+
+
+def test_broadcast_only_what_is_small(spark, sides, monkeypatch):
+    from lumenfold.operators import join
+
+    monkeypatch.setattr(join, "BROADCAST_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = hash_join(*sides, ["l_i32"], ["r_i32"], strategy="broadcast")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
