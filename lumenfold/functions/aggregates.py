@@ -19,6 +19,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DecimalType, IntegerType, LongType, ShortType
 
 Make = Callable[..., Column]
 WORD = Decimal(1 << 64)
@@ -26,10 +27,14 @@ WORD = Decimal(1 << 64)
 
 @dataclass(frozen=True)
 class Function:
+    """make(columns..., options...) gives the aggregate; result(type of the first column), if it is known, the type that
+    the aggregate is cast to, or None."""
+
     make: Make
     targets: int = 1
     scalar: bool = True
     hash: bool = True
+    result: Callable[[DataType], DataType | None] | None = None
 
 
 def counted(c: Column, mode: str = "only_valid") -> Column:
@@ -77,16 +82,54 @@ def mean(c: Column, skip_nulls: bool = True, min_count: int = 1) -> Column:
     return enough(F.avg(c), c, skip_nulls, min_count)
 
 
+def primes_beyond(limit: int) -> list[int]:
+    """The first primes whose product is greater than limit."""
+    found, whole, n = [], 1, 2
+    while whole <= limit:
+        if all(n % p for p in found):
+            found.append(n)
+            whole *= n
+        n += 1
+    return found
+
+
+def powers_of_root(p: int) -> list[int]:
+    """The powers 0, 1, ..., p - 2 of the least number whose powers are all residues of the prime p but 0."""
+    for g in range(1, p):
+        powers = [pow(g, k, p) for k in range(p - 1)]
+        if len(set(powers)) == p - 1:
+            return powers
+    raise ValueError(f"{p} is no prime")
+
+
+def whole_product(c: Column) -> Column:
+    """The exact product of integers, by partial sums alone: for each of some primes, factors become exponents of one
+    residue, whose sum gives the product's residue; the residues together give the product. A product beyond 64 bits is
+    an error."""
+    c = c.cast("long")
+    primes = primes_beyond(1 << 64)
+    whole = 1
+    for p in primes:
+        whole *= p
+    number = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    total = number(0)
+    for p in primes:
+        powers = powers_of_root(p)
+        exponents = F.array(*[F.lit(powers.index(r) if r else None).cast("int") for r in range(p)])
+        exponent = F.pmod(F.coalesce(F.sum(F.get(exponents, F.pmod(c, F.lit(p)).cast("int"))), F.lit(0)), F.lit(p - 1)).cast("int")
+        residue = F.when(F.count_if(F.pmod(c, F.lit(p)) == 0) > 0, F.lit(0)).otherwise(F.get(F.array(*map(F.lit, powers)), exponent))
+        total = (total + number(whole // p * pow(whole // p, -1, p)) * residue.cast("decimal(3,0)")).cast("decimal(38,0)")
+    low = F.pmod(total, number(whole)).cast("decimal(38,0)")
+    low = F.when(low > number(whole // 2), (low - number(whole)).cast("decimal(38,0)")).otherwise(low)
+    # The residues hold numbers up to whole / 2, about 1.6e19; what may be beyond is told by the product as double.
+    size = F.abs(F.product(F.when(c != 0, c)))
+    value = F.when(F.count_if(c == 0) > 0, F.lit(0).cast("long")).when(size > 1.2e19, F.raise_error(F.lit("the product is beyond 64 bits")).cast("long")).otherwise(low.cast("long"))
+    return F.when(F.count(c) > 0, value)
+
+
 def product(c: Column, skip_nulls: bool = True, min_count: int = 1, exact: bool = False) -> Column:
-    """The product as double; exact=True multiplies integers as a long, in no particular order. Of these only values
-    beyond 1 and -1 are collected, of which 64 or more overflow; a zero makes the product 0."""
-    if exact:
-        sign = F.when(F.count_if(c == -1) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("long")
-        factors = F.collect_list(F.when((c > 1) | (c < -1), c))
-        value = F.when(F.count_if(c == 0) > 0, F.lit(0).cast("long")).when(F.count(c) > 0, F.aggregate(factors, sign, lambda a, x: a * x))
-    else:
-        value = F.product(c)
-    return enough(value, c, skip_nulls, min_count)
+    """The product as double; exact=True, the default for integer columns, multiplies integers as a long."""
+    return enough(whole_product(c) if exact else F.product(c), c, skip_nulls, min_count)
 
 
 def extreme(function: Callable[[Column], Column]) -> Make:
@@ -161,10 +204,17 @@ def index(c: Column, value=None, position: str | None = None) -> Column:
 
 
 def pivot_wider(key: Column, value: Column, key_names: tuple[str, ...] = ()) -> Column:
-    """A struct with a field for each name: the one value whose key it is, or null."""
+    """A struct with a field for each name: the one value whose key it is, or null. Several values that aren't null for
+    one key are an error."""
     if not key_names:
         raise ValueError("pivot_wider needs key_names")
-    return F.struct(*[F.max(F.when(key == F.lit(k), value)).alias(k) for k in key_names])
+
+    def field(name):
+        mine = F.when(key == F.lit(name), value)
+        several = F.raise_error(F.lit(f"more than one value that isn't null for the pivot key {name!r}"))
+        return F.when(F.count(mine) <= 1, F.max(mine)).otherwise(several).alias(str(name))
+
+    return F.struct(*map(field, key_names))
 
 
 def distinct(c: Column, mode: str = "only_valid") -> Column:
@@ -179,12 +229,20 @@ def listed(c: Column) -> Column:
     return F.transform(F.collect_list(F.struct(c.alias("x"))), lambda s: s["x"])
 
 
+def wide_decimal(kind: DataType) -> DataType | None:
+    return DecimalType(38, kind.scale) if isinstance(kind, DecimalType) else None
+
+
+def same_decimal(kind: DataType) -> DataType | None:
+    return kind if isinstance(kind, DecimalType) else None
+
+
 REGISTRY: dict[str, Function] = {
     "count": Function(counted),
     "count_all": Function(lambda: F.count(F.lit(1)), targets=0),
     "count_distinct": Function(counted_distinct),
-    "sum": Function(summed),
-    "mean": Function(mean),
+    "sum": Function(summed, result=wide_decimal),
+    "mean": Function(mean, result=same_decimal),
     "product": Function(product),
     "min": Function(extreme(F.min)),
     "max": Function(extreme(F.max)),
@@ -212,8 +270,18 @@ def names(grouped: bool) -> list[str]:
     return [f"hash_{n}" if grouped else n for n, f in REGISTRY.items() if (f.hash if grouped else f.scalar)]
 
 
-def expression(name: str, columns: tuple[str, ...], grouped: bool, options: dict) -> Column:
-    """The column of a named aggregate; a ValueError says what is wrong with the name, the targets or the options."""
+def register(name: str, make: Make, targets: int = 1, scalar: bool = True, hash: bool = True, replace: bool = False) -> None:
+    """Adds an aggregate of one's own: make(columns..., options...) gives its column. With keys its name is hash_<name>."""
+    if name.startswith("hash_") or not name:
+        raise ValueError("the name is given without hash_")
+    if name in REGISTRY and not replace:
+        raise ValueError(f"there is an aggregate {name!r} already")
+    REGISTRY[name] = Function(make, targets, scalar, hash)
+
+
+def expression(name: str, columns: tuple[str, ...], grouped: bool, options: dict, types: tuple[DataType, ...] = ()) -> Column:
+    """The column of a named aggregate; a ValueError says what is wrong with the name, the targets or the options.
+    types: those of the target columns, where known."""
     plain = name.removeprefix("hash_")
     function = REGISTRY.get(plain)
     if function is None:
@@ -226,7 +294,11 @@ def expression(name: str, columns: tuple[str, ...], grouped: bool, options: dict
         raise ValueError(f"{name!r} is no {'grouped' if grouped else 'scalar'} aggregate")
     if len(columns) != function.targets:
         raise ValueError(f"{name!r} takes {function.targets} target columns, not {len(columns)}")
+    if function.make is product and types and isinstance(types[0], (ByteType, ShortType, IntegerType, LongType)):
+        options = {"exact": True, **options}
     try:
-        return function.make(*map(F.col, columns), **options)
+        value = function.make(*map(F.col, columns), **options)
     except TypeError as e:
         raise ValueError(f"options of {name!r}: {e}") from None
+    kind = function.result(types[0]) if function.result and types else None
+    return value.cast(kind) if kind is not None else value

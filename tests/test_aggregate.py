@@ -102,3 +102,68 @@ def test_registry_is_whole():
 def test_partial_before_shuffle(nulls):
     plan = aggregate(nulls, ["k"], [Agg("hash_sum", "v", "s")])._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_whole_products(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    groups = {}
+    for k in range(40):
+        values = [draw.choice([-1, 1, draw.randint(-60, 60), draw.choice([None, 1, 2, -3, 10**6, -(2**31)])]) for _ in range(draw.randint(0, 12))]
+        want = math.prod(v for v in values if v is not None)
+        if abs(want) < 2**63:
+            groups[k] = (values, want if any(v is not None for v in values) else None)
+    groups[90], groups[91] = ([-(2**63)], -(2**63)), ([2] * 62 + [-1], -(2**62))
+    groups[92] = ([10**18] * 9 + [0], 0)
+    rows = spark.createDataFrame([(k, v) for k, (values, _) in groups.items() for v in values], "k long, v long").repartition(5)
+    got = {r.k: r.p for r in group_aggregate(rows, ["k"], [Agg("hash_product", "v", "p")]).collect()}
+    assert got == {k: want for k, (values, want) in groups.items() if values}
+    with pytest.raises(Exception, match="64 bits|OVERFLOW|out of range"):
+        scalar_aggregate(spark.createDataFrame([(2**62,), (2,)], "v long"), [Agg("product", "v", "p")]).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        scalar_aggregate(spark.createDataFrame([(10**10,)] * 3, "v long"), [Agg("product", "v", "p")]).collect()
+
+
+def test_product_sums_before_the_shuffle(nulls):
+    plan = aggregate(nulls, ["k"], [Agg("hash_product", "v", "p")])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "collect" not in plan
+
+
+def test_decimal_types(spark):
+    rows = spark.sql("SELECT CAST(x AS DECIMAL(5,2)) AS v FROM VALUES (1.00), (2.01) AS t(x)")
+    out = scalar_aggregate(rows, [Agg("sum", "v", "s"), Agg("mean", "v", "m")])
+    assert dict(out.dtypes) == {"s": "decimal(38,2)", "m": "decimal(5,2)"} and [str(x) for x in out.first()] == ["3.01", "1.51"]
+
+
+def test_pivot_refuses_a_second_value(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "k string, v int")
+    pivot = Agg("pivot_wider", ("k", "v"), "p", {"key_names": ("a", "b", "c")})
+    assert tuple(scalar_aggregate(rows, [pivot]).first().p) == (1, 2, None)
+    with pytest.raises(Exception, match="more than one value"):
+        scalar_aggregate(rows.union(rows), [pivot]).collect()
+
+
+def test_own_aggregates(nulls):
+    from pyspark.sql import functions as F
+
+    from lumenfold.functions.aggregates import REGISTRY, register
+
+    register("spread", lambda c, scale=1: (F.max(c) - F.min(c)) * scale)
+    try:
+        low, high = nulls.agg(F.min("v"), F.max("v")).first()
+        assert scalar_aggregate(nulls, [Agg("spread", "v", "s", {"scale": 2})]).first().s == 2 * (high - low)
+        assert "s" in group_aggregate(nulls, ["k"], [Agg("hash_spread", "v", "s")]).columns
+        for bad in ("spread", "hash_x", ""):
+            with pytest.raises(ValueError):
+                register(bad, F.max)
+    finally:
+        del REGISTRY["spread"]
+
+
+def test_default_quantiles_are_near(spark):
+    rows = spark.range(100_000).selectExpr("CAST(pow(id, 1.7) AS DOUBLE) AS v").repartition(6)
+    out = scalar_aggregate(rows, [Agg("approximate_median", "v", "m"), Agg("tdigest", "v", "q", {"q": (0.01, 0.25, 0.999)})]).first()
+    ranks = [round(x ** (1 / 1.7)) / 100_000 for x in (out.m, *out.q)]
+    assert all(abs(r - p) <= 0.0005 for r, p in zip(ranks, (0.5, 0.01, 0.25, 0.999), strict=True))
