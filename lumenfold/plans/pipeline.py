@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..operators.join import hash_join
+from .observer import Observer
 
 
 @dataclass(frozen=True, eq=False)
@@ -69,8 +70,10 @@ class Pipeline:
         out += [[named[p] for p in level if level[p] == k] for k in range(1, max(level.values(), default=0) + 1)]
         return out
 
-    def compile(self) -> DataFrame:
-        waiting = [(c.source, list(c.pipes)) for c in self.channels]
+    def compile(self, observer: Observer | None = None) -> DataFrame:
+        """The pipeline as a DataFrame. An observer counts the rows that leave every source, pipe and the sink."""
+        seen = observer.watch if observer else lambda point, df: df
+        waiting = [(seen(f"source {c.name}", c.source), list(c.pipes)) for c in self.channels]
         while any(pipes for _, pipes in waiting):
             ahead = {id(p) for _, pipes in waiting for p in pipes[1:]}
             ready = [pipes[0] for _, pipes in waiting if pipes and id(pipes[0]) not in ahead]
@@ -81,13 +84,13 @@ class Pipeline:
             waiting = [w for w in waiting if not (w[1] and w[1][0] is pipe)]
             rests = {tuple(id(p) for p in pipes[1:]) for _, pipes in mine}
             if len(rests) == 1:  # one stream from here on
-                waiting.append((pipe.apply(together([df for df, _ in mine])), mine[0][1][1:]))
+                waiting.append((seen(f"pipe {pipe.name}", pipe.apply(together([df for df, _ in mine]))), mine[0][1][1:]))
             elif pipe.late:
                 raise ValueError(f"{pipe.name} emits rows of its own and its channels part behind it")
             else:
-                waiting += [(pipe.apply(df), pipes[1:]) for df, pipes in mine]
+                waiting += [(seen(f"pipe {pipe.name}", pipe.apply(df)), pipes[1:]) for df, pipes in mine]
         out = together([df for df, _ in waiting])
-        return self.sink(out) if self.sink else out
+        return seen("sink", self.sink(out) if self.sink else out)
 
     def explain(self) -> str:
         lines = [f"Pipeline {self.name}"]

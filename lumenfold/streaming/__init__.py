@@ -10,6 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+def __getattr__(name: str):
+    if name in ("Produced", "Progress"):
+        from . import produced
+
+        return getattr(produced, name)
+    raise AttributeError(name)
+
+
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream. A trigger takes so many files at most: the sink is never ahead of them."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import sources
 from lumenfold.operators import append, batches_of, identity, map_batches, materialize, polynomial, project, recursive_series, repeat_rows, sort_rows
-from lumenfold.plans import Channel, Pipeline, join_pipe, map_pipe
+from lumenfold.plans import Channel, Observer, Pipeline, join_pipe, map_pipe
 
 
 def ints(spark, *values):
@@ -135,3 +135,41 @@ def test_sources_and_sinks(spark):
 def test_errors_surface(spark):
     with pytest.raises(Exception, match="no luck"):
         ints(spark, 1).select(F.raise_error(F.lit("no luck"))).collect()
+
+
+def test_columns_of_ones_own_stay(spark):
+    df = spark.createDataFrame([(i % 3, i, i, i, i, i, i) for i in range(20)], "lane int, copy int, _copy int, part int, place int, start int, row_id int")
+    assert repeat_rows(df, 2).columns == df.columns and repeat_rows(df, 2).where("copy IS NULL OR _copy IS NULL").count() == 0
+    for lane in (None, "lane"):
+        out = batches_of(df, 4, ["place"], lane=lane)
+        assert out.columns == [*df.columns, "batch_id"]
+        assert sorted(tuple(r[:7]) for r in out.collect()) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        batches_of(batches_of(df, 4, ["place"]), 4, ["place"])
+    with pytest.raises(ValueError):
+        sources.parallel_source(df, 2, ["place"], 3)
+
+
+def test_lanes_are_cut_into_ranges(spark):
+    """Most rows in one lane, some in a null one: rows are numbered in order, and no task takes a whole lane."""
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS lane", "id").repartition(6)
+    got = batches_of(rows, 64, ["id"], lane="lane").collect()
+    for lane in ("a", "b", None):
+        mine = sorted((r.id, r.batch_id) for r in got if r.lane == lane)
+        assert [b for _, b in mine] == [i // 64 for i in range(len(mine))]
+    assert batches_of(rows.where("false"), 64, ["id"], lane="lane").count() == 0
+
+
+def test_observer(spark):
+    pipe = map_pipe("even", lambda df: df.where("v % 2 = 0"))
+    seen, ends = Observer(total=F.sum("v")), []
+    seen.on_end(ends.append)
+    out = Pipeline("p", [Channel("a", ints(spark, 1, 2), [pipe]), Channel("b", ints(spark, 2, 4, 6), [pipe])]).compile(seen)
+    assert values(out) == [2, 2, 4, 6]
+    assert seen.seen() == {"source a": {"rows": 2, "total": 3}, "source b": {"rows": 3, "total": 12}, "pipe even": {"rows": 4, "total": 14}, "sink": {"rows": 4, "total": 14}}
+    assert len(ends) == 1 and seen.seen() and len(ends) == 1
+
+
+def test_rows_of_partitions(spark):
+    found = sources.rows_of_partitions(ints(spark, *range(20)).withColumn("part", F.lit("own")).repartition(3))
+    assert len(found) == 3 and sorted(r.v for rows in found.values() for r in rows) == list(range(20)) and found[0][0].part == "own"

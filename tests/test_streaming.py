@@ -1,12 +1,13 @@
 """Streams end when told to, lose nothing, and raise what their sinks raise."""
 
+import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold import sources
-from lumenfold.streaming import available_aggregate, available_to_table, file_stream, run_available, stop_after
+from lumenfold.streaming import Produced, Progress, available_aggregate, available_to_table, file_stream, run_available, stop_after
 
 
 @pytest.fixture
@@ -60,3 +61,66 @@ def test_endless_source_stops(spark, folder):
     begin = time.monotonic()
     stop_after(query, lambda: sum(seen) > 0, 30)
     assert not query.isActive and sum(seen) > 0 and time.monotonic() - begin < 60
+
+
+def consumers(source, names, commit):
+    found, errors = {}, {}
+
+    def run(name):
+        try:
+            found[name] = source.consume(name, lambda b, n: commit(name, b))
+        except Exception as e:
+            errors[name] = str(e)
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in names]
+    for t in threads:
+        t.start()
+    return threads, found, errors
+
+
+def test_producer_waits_and_all_get_all(spark, tmp_path):
+    source, got, gate = Produced(spark, "v long", str(tmp_path), ["a", "b"], capacity=2), {"a": [], "b": []}, threading.Event()
+
+    def commit(name, batch):
+        if name == "b":
+            gate.wait(60)
+        got[name] += [r.v for r in batch.collect()]
+
+    threads, found, errors = consumers(source, ["a", "b"], commit)
+    done = []
+    producer = threading.Thread(target=lambda: [(source.put([(i,)]), done.append(i)) for i in range(5)] and source.close())
+    producer.start()
+    time.sleep(8)
+    assert len(done) == 2  # the slow reader holds the producer up
+    gate.set()
+    for t in (producer, *threads):
+        t.join(120)
+    assert not errors and found == {"a": 5, "b": 5} and sorted(got["a"]) == sorted(got["b"]) == list(range(5))
+    with pytest.raises(ValueError):
+        source.put([(9,)])
+
+
+def test_an_error_reaches_all_consumers(spark, tmp_path):
+    source, got = Produced(spark, "v long", str(tmp_path), ["a", "b"]), []
+    threads, found, errors = consumers(source, ["a", "b"], lambda name, b: got.append((name, b.count())))
+    source.put([(1,), (2,)])
+    source.fail(ValueError("the producer broke"))
+    for t in threads:
+        t.join(120)
+    assert errors == {"a": "the producer broke", "b": "the producer broke"} and not found
+    assert sorted(x for x in got if x[1]) == [("a", 2), ("b", 2)]  # what was put before is not lost
+    with pytest.raises(ValueError):
+        Produced(spark, "v long", str(tmp_path), [])
+
+
+def test_progress_is_heard(spark, folder):
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        run_available(stream(spark, folder), lambda b, n: b.count(), str(folder / "state"))
+        end = time.monotonic() + 30
+        while not listener.ended and time.monotonic() < end:
+            time.sleep(0.1)
+        assert listener.started and listener.ended[0]["error"] is None and sum(b["rows"] for b in listener.batches) >= 100
+    finally:
+        spark.streams.removeListener(listener)
