@@ -64,7 +64,9 @@ class ChunkEncoder:
         self.pattern = BYTE_PATTERN
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = special_strings(spec)
+        special = special_strings(spec)
+        #: What every special string begins with; a chunk without it holds none.
+        self.mark = os.path.commonprefix(special) if special else None
         if words:
             pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
@@ -81,7 +83,7 @@ class ChunkEncoder:
 
     def ids(self, chunk: str) -> bytes:
         """The ids of a chunk as little-endian 32-bit integers."""
-        if any(s in chunk for s in self.special) or chunk and max(chunk) > WESTERN:
+        if self.mark is not None and self.mark in chunk or chunk and max(chunk) > WESTERN:
             # May hold a special string, which the library looks for first, or what the pattern library may not know.
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         plain = chunk.isascii()
