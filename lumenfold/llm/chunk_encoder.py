@@ -83,16 +83,16 @@ class ChunkEncoder:
 
     def ids(self, chunk: str) -> bytes:
         """The ids of a chunk as little-endian 32-bit integers."""
-        if self.mark is not None and self.mark in chunk or chunk and max(chunk) > WESTERN:
+        plain = chunk.isascii()
+        if not plain and max(chunk) > WESTERN or self.mark is not None and self.mark in chunk:
             # May hold a special string, which the library looks for first, or what the pattern library may not know.
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        plain = chunk.isascii()
         if self.words:
             chunk = chunk.lower() if plain else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
         if plain:  # one word, with a comma or full stop perhaps
             word = chunk if self.words else chunk.removeprefix(" ")
             if word.isalpha():
-                return self.pieces[chunk]
+                return self.piece(chunk)  # the chunk itself is remembered
             if word[:-1].isalpha() and word[-1] in ",.":
                 return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
