@@ -95,13 +95,14 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert packing.packed(frame(spark, data), WORD, 1, 16).count() == 5
 
 
-def check_plan(counts, limit):
-    runs = packing.plan(counts, limit)
+def check_plan(spark, counts, limit):
+    """The number of bins of a plan whose bins are gapless, hold `limit` at most, and have every piece once."""
+    runs = packing.plan(spark.createDataFrame(sorted(counts.items()), "length long, n long"), limit)
     placed, bins = Counter(), {}
-    for length, a, b, first, offset in runs.tolist():
+    for length, a, b, first, offset, fit in runs.tolist():
         for rank in range(a, b):
             placed[length, rank] += 1
-            bins.setdefault(first + rank - a, []).append((offset, length))
+            bins.setdefault(first + (rank - a) // fit, []).append((offset + (rank - a) % fit * length, length))
     assert placed == Counter((n, r) for n, k in counts.items() for r in range(k))
     for content in bins.values():
         end = 0
@@ -109,20 +110,82 @@ def check_plan(counts, limit):
             assert offset == end
             end += length
         assert end <= limit
+    assert sorted(bins) == list(range(len(bins)))
     return len(bins)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=30))
-def test_plan_is_gapless_and_near_the_least(counts):
-    tokens, large = sum(n * k for n, k in counts.items()), sum(k for n, k in counts.items() if n > 20)
-    assert check_plan(counts, 40) <= 1.5 * max(-(-tokens // 40), large) + 1
-
-
-def test_plan_fills_sequences():
+def best_fit(counts, limit):
+    """Plain best fit of one piece after the other, longest first: the number of bins."""
+    gaps = []
+    for n in sorted((n for n, k in counts.items() for _ in range(k)), reverse=True):
+        at = min((i for i, g in enumerate(gaps) if g >= n), key=lambda i: gaps[i], default=None)
+        if at is None:
+            gaps.append(limit)
+            at = len(gaps) - 1
+        gaps[at] -= n
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_is_near_best_fit(spark, seed):
+    r = random.Random(seed)
+    counts = {r.randint(1, 60): r.randint(1, 200) for _ in range(r.choice([1, 3, 15, 40]))}
+    assert check_plan(spark, counts, 60) <= 1.05 * best_fit(counts, 60) + 1
+
+
+def test_plan_of_extremes(spark):
+    assert check_plan(spark, {64: 3}, 64) == 3
+    assert check_plan(spark, {1: 129}, 64) == 3
+    assert check_plan(spark, {33: 5, 31: 5}, 64) == 5
+    assert check_plan(spark, {1: 1}, 1) == 1
+
+
+RUNS = st.lists(st.tuples(st.sampled_from([packing.GAP, packing.PIECE]), st.integers(1, 64), st.integers(1, 9)), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(RUNS)
+def test_sweeps_of_ranges_give_the_matches_of_one_sweep(found):
+    """Also against a plain version that takes one piece after the other."""
+    limit, runs, pieces, bins = 64, [], {}, 0
+    for kind, size, n in found:
+        if kind == packing.PIECE:
+            pieces[size] = n
+        else:
+            runs.append((kind, size, bins, bins + n, 0, 0, 0))
+            bins += n
+    runs += [(packing.PIECE, size, 0, n, 0, 0, 0) for size, n in pieces.items()]
+
+    def matches(rows):
+        return sorted((size, rank, bin_ + (rank - a) // fit, offset + (rank - a) % fit * size) for kind, size, a, b, bin_, offset, fit in rows if kind == packing.MATCH for rank in range(a, b))
+
+    parts = [packing.sweep([r for r in runs if (limit - r[1]) * 16 // (limit + 1) == part], limit) for part in range(16)]
+    while len(parts) > 1:
+        parts = [packing.sweep([r for p in parts[i : i + 4] for r in p], limit) for i in range(0, len(parts), 4)]
+    got = matches(parts[0])
+    assert got == matches(packing.sweep(runs, limit))
+
+    gaps = {b: size for kind, size, a, e, *_ in runs if kind == packing.GAP for b in range(a, e)}
+    fill, taker, sizes = {}, {}, []
+    for size in sorted(pieces, reverse=True):
+        for _ in range(pieces[size]):
+            # A bin takes pieces of one size a round; the least gap that holds the piece is the successor.
+            fits = [gaps[b] - fill.get(b, 0) for b in gaps if taker.get(b, size) == size and gaps[b] - fill.get(b, 0) >= size]
+            begun = [b for b in gaps if taker.get(b) == size and gaps[b] - fill[b] >= size]
+            if not fits:
+                break
+            bin_ = begun[0] if begun else min((b for b in gaps if b not in taker and gaps[b] >= size), key=lambda b: gaps[b])
+            taker[bin_] = size
+            sizes.append((size, limit - gaps[bin_] + fill.get(bin_, 0), gaps[bin_]))
+            fill[bin_] = fill.get(bin_, 0) + size
+    of = {b: g for b, g in gaps.items()}
+    assert sorted((size, offset, of[b]) for size, _, b, offset in got) == sorted(sizes)
+
+
+def test_plan_fills_sequences(spark):
     lengths = np.clip(np.random.default_rng(1).lognormal(6.5, 0.9, 20_000).astype(int), 1, 4096)
     counts = Counter(lengths.tolist())
-    assert check_plan(counts, 4096) <= 1.003 * lengths.sum() / 4096
+    assert check_plan(spark, counts, 4096) <= 1.003 * lengths.sum() / 4096
 
 
 def test_packing(spark, library):
