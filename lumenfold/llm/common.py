@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -126,6 +127,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, chars: int = SLICE_
                 begin, held = i, 0
             held += n + 16
         yield [c.to_pylist() for c in batch.slice(begin).columns]
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the machine. Workers serve one task after the other, and what Arrow's pool
+    and the C library keep for reuse would add to the next stage's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if trim:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[list[list]], pa.RecordBatch]], schema: str, text: int = 1, chars: int = SLICE_CHARS) -> DataFrame:

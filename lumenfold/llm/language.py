@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, held_out, map_arrow, slices, spread_sample
+from .common import check_columns, give_back, held_out, map_arrow, slices, spread_sample
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -277,5 +277,7 @@ def determined(docs: DataFrame, model: LanguageModel, least: float = 0.5, accept
                 keep = pa.array([bool(spans) and name in wanted and score >= least for name, score, spans in found], pa.bool_())
                 yield batch.slice(begin, len(found)).filter(keep)
                 begin += len(found)
+        del labeller
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
