@@ -13,6 +13,7 @@ import json
 import os
 import unicodedata
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import regex
 from .token_counts import SEPARATORS, WESTERN, WHITE, byte_symbols, special_strings
 
 #: Strings that a memory of a worker holds in one of its two generations.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 REMEMBERED_LENGTH = 64
 #: The byte-level pattern, with the white space of Unicode.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -60,7 +61,7 @@ class ChunkEncoder:
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.model, self.symbols = self.tokenizer.model, "".join(byte_symbols())
         self.pattern = BYTE_PATTERN
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,10 +76,7 @@ class ChunkEncoder:
         self.spaced = Memory(lambda chunk: self.ids(" " + chunk))
 
     def piece(self, pre_token: str) -> bytes:
-        if pre_token.isascii() and pre_token.isprintable():  # visible ASCII stands for itself
-            visible = pre_token.replace(" ", self.symbols[32])
-        else:
-            visible = "".join([self.symbols[b] for b in pre_token.encode()])
+        visible = charmap_decode(pre_token.encode(), "strict", self.symbols)[0]
         return array("I", [t.id for t in self.model.tokenize(visible)]).tobytes()
 
     def ids(self, chunk: str) -> bytes:
@@ -89,12 +87,12 @@ class ChunkEncoder:
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if self.words:
             chunk = chunk.lower() if plain else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
-        if plain:  # one word, with a comma or full stop perhaps
-            word = chunk if self.words else chunk.removeprefix(" ")
-            if word.isalpha():
-                return self.piece(chunk)  # the chunk itself is remembered
-            if word[:-1].isalpha() and word[-1] in ",.":
-                return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
+        word = chunk if self.words else chunk.removeprefix(" ")  # one word, with a comma or full stop perhaps
+        if word.isalpha():
+            # The chunk itself is remembered; accented words are pieces too, since they return with a comma or full stop.
+            return self.piece(chunk) if plain else self.pieces[chunk]
+        if word[:-1].isalpha() and word[-1] in ",.":
+            return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
 
     def text_ids(self, text: str) -> bytes:

@@ -49,10 +49,9 @@ SHARD_IDS = 1 << 20
 
 def level_widths(ids: np.ndarray, most: int = 4) -> list[int]:
     """The chunk widths that need the fewest bits: by dynamic programming over the ids' bit lengths."""
-    lengths = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(int)) if len(ids) else np.array([1])
+    lengths = np.maximum(1, np.frexp(ids.astype(np.float64))[1]) if len(ids) else np.array([1])
     top = int(lengths.max())
-    longer = [int((lengths > b).sum()) for b in range(top + 1)]
-    longer[0] = len(lengths)
+    longer = (len(lengths) - np.cumsum(np.bincount(lengths))).tolist()
     best = {(top, 0): (0, [])}
     for used in range(1, most + 1):
         for begin in range(top - 1, -1, -1):
@@ -65,9 +64,36 @@ def level_widths(ids: np.ndarray, most: int = 4) -> list[int]:
     return min(best[0, used] for used in range(1, most + 1) if (0, used) in best)[1]
 
 
+def lanes(width: int) -> Iterator[tuple[int, int, int]]:
+    """64 values of `width` bits fill `width` words of 64 bits: each value's number, the word it begins in, and at which bit."""
+    return ((i, *divmod(i * width, 64)) for i in range(64))
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    """values, none beyond `width` bits, side by side, lowest bits first."""
+    table = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    table.reshape(-1)[: len(values)] = values
+    words = np.zeros((width, len(table)), np.uint64)
+    for i, word, bit in lanes(width):
+        value = table[:, i].copy()
+        words[word] |= value << np.uint64(bit)
+        if bit + width > 64:
+            words[word + 1] |= value >> np.uint64(64 - bit)
+    return words.T.astype("<u8").tobytes()[: -(-width * len(values) // 8)]
+
+
+def unpacked(data: np.ndarray, width: int, count: int) -> np.ndarray:
+    """The first `count` values that packed() put into the bytes `data`."""
+    padded = np.zeros(-(-count // 64) * 8 * width, np.uint8)
+    padded[: len(data)] = data
+    words = np.ascontiguousarray(padded.view("<u8").reshape(-1, width).T)
+    out = np.empty((words.shape[1], 64), np.uint32)
+    for i, word, bit in lanes(width):
+        value = words[word] >> np.uint64(bit)
+        if bit + width > 64:
+            value |= words[word + 1] << np.uint64(64 - bit)
+        out[:, i] = value & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[:count]
 
 
 def encode_shard(documents: list[np.ndarray]) -> bytes:
@@ -145,10 +171,7 @@ class Shard:
         shift = 0
         for level, (width, count) in enumerate(zip(self.widths, self.counts, strict=True)):
             size = -(-width * count // 8)
-            bits = np.unpackbits(self.data[self.at[level] : self.at[level] + size], count=width * count, bitorder="little").reshape(count, width)
-            chunk = np.zeros(count, np.uint32)
-            for b in range(width):
-                chunk |= bits[:, b].astype(np.uint32) << np.uint32(b)
+            chunk = unpacked(self.data[self.at[level] : self.at[level] + size], width, count)
             if out is None:
                 out, where = chunk, np.arange(count)
             else:

@@ -1,6 +1,7 @@
 """Token counts, ids, files and packing against the tokenizers library."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -54,6 +55,16 @@ def test_ids_equal_the_library(library, path, words):
     assert [list(memoryview(b).cast("I")) for b in got] == [[*e.ids, 3] for e in library[path].encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path,words", [(WORD, True), (BYTE, False)])
+def test_accented_words_need_no_pattern(library, path, words):
+    """Single words with accents, also before a comma or full stop, were cut by the pattern each time."""
+    texts = ["Árbol señor, niño. çà ªº ßÿ", "été, ñ. ÀÉ café café, café."]
+    encoder = ChunkEncoder(path, words)
+    encoder.pattern = None
+    got = encoder.encode(texts, 3)
+    assert [list(memoryview(b).cast("I")) for b in got] == [[*e.ids, 3] for e in library[path].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_count_query(spark, library):
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(frame(spark), WORD, limit=100).collect()}
     for i, text, *_ in rows():
@@ -73,6 +84,28 @@ def test_shard_round_trip(ids):
         assert all((shard.document(k) == d).all() for k, d in enumerate(documents))
 
 
+@pytest.mark.parametrize("width", range(1, 33))
+def test_bits_side_by_side(width):
+    draw = random.Random(width)
+    for n in (0, 1, 63, 64, 65, 300):
+        values = [draw.choice([0, (1 << width) - 1, draw.randrange(1 << width)]) for _ in range(n)]
+        data = token_file.packed(np.array(values, np.uint32), width)
+        assert data == sum(v << k * width for k, v in enumerate(values)).to_bytes(-(-n * width // 8), "little")
+        assert token_file.unpacked(np.frombuffer(data, np.uint8), width, n).tolist() == values
+
+
+def test_a_shard_takes_no_matrix_of_bits():
+    """Time went into arrays with an element for each bit of each id."""
+    ids = np.random.default_rng(2).integers(0, 50_000, 1 << 18, dtype=np.uint32)
+    tracemalloc.start()
+    try:
+        shard = token_file.Shard(token_file.encode_shard([ids]))
+        assert (shard.all() == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 64 * len(ids)
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_files(spark, library, tmp_path):
     path = str(tmp_path / "files")
     token_file.write_token_files(frame(spark), path, BYTE, end=0, parts=5)
